@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from pkgloom.llm.leakage import leaked_items
+from pkgloom.llm.spam import spam_pages
 from pkgloom.llm.tokenize import token_ids
 from pkgloom.session import table
 
@@ -21,5 +22,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {}
