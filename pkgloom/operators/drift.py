@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from math import sqrt
 from zlib import crc32
 
@@ -27,7 +26,7 @@ from pkgloom.operators.jsonio import BIT, TYPES, kind, parse_object
 
 BINS = 509
 _VERSION = re.compile(r"\d+(?:\.\d+)+(?:[.\-+]\w+)*")
-_RUN = re.compile(r"[^\W\d_]+|\d+")
+_RUN = re.compile(r"([a9])\1+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -35,28 +34,41 @@ PROFILE_SCHEMA = "part int, version string, path string, parent string, bin int,
 CHANGE_SCHEMA = "topic_partition int, plugin_version string, old_field string, new_field string, change_kind string"
 
 
-@lru_cache(200_000)
-def _features(text: str) -> tuple[tuple[int, float], ...]:
+class _Bins(dict):
+    """token -> its bin, computed once; emptied when full."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        b = self[token] = crc32(token.encode("utf-8", "surrogatepass")) % (BINS - 1) + 1
+        return b
+
+
+class _Letters(dict):
+    """Code point -> 'a' for letters, '9' for digits, itself else."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        out = self[code] = "a" if ch.isalpha() else "9" if ch.isdigit() else ch
+        return out
+
+
+_bins, _letters = _Bins(), _Letters()
+
+
+def _features(text: str) -> list[tuple[int, float]]:
     """Hashed features of a scalar: its shape and its words; of a number its length and leading digits."""
     if not text:
-        return ((0, 1.0),)
+        return [(0, 1.0)]
     text = text[:256]
-    found = {}
-
-    def add(token: str, weight: float) -> None:
-        b = crc32(token.encode("utf-8", "surrogatepass")) % (BINS - 1) + 1
-        found[b] = found.get(b, 0.0) + weight
-
     if text.isascii() and text.isdigit():
-        add(f"d{len(text)}", 1.0)
-        add(f"d{len(text)}:{text[:2]}", 0.5)
-        return tuple(found.items())
-    shape = _RUN.sub(lambda m: "9" if m[0][0].isdigit() else "a", text)
-    add("shape " + shape, 1.0)
+        return [(_bins[f"d{len(text)}"], 1.0), (_bins[f"d{len(text)}:{text[:2]}"], 0.5)]
     words = _WORD.findall(text)[:8]
-    for x in words:
-        add("word " + x.lower(), 1.0 / len(words))
-    return tuple(found.items())
+    out = [(_bins[_RUN.sub(r"\1", text.translate(_letters))], 1.0)]
+    if words:
+        weight = 1.0 / len(words)
+        out += [(_bins[w], weight) for w in words]
+    return out
 
 
 def name_similarity(a: str, b: str) -> float:
