@@ -11,6 +11,7 @@ from pkgloom.operators.drift import field_changes, profile_fields
 from pkgloom.operators.hierarchy import coordinate_links, hierarchies
 from pkgloom.operators.nested import stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys
+from pkgloom.plans.registry import micros
 from pkgloom.session import table
 
 HEAVY_SHARE = 0.04
@@ -47,8 +48,8 @@ def p3_per_package(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("version_rows", F.lit(0)).alias("n_versions"),
         F.coalesce("dependency_rows", F.lit(0)).alias("n_named"),
         F.col("pairs").alias("n_pairs"),
-        F.unix_micros(F.col("version_min_created_at").cast("timestamp")).alias("first_us"),
-        F.unix_micros(F.col("version_max_created_at").cast("timestamp")).alias("last_us"),
+        micros("version_min_created_at").alias("first_us"),
+        micros("version_max_created_at").alias("last_us"),
     )
 
 
