@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from pkgloom.session import cut
 
-SAMPLE_PAGES = 12_000  # pages whose blocks may train the trees
-TREES = 15
-DEPTH = 8
-LEAST_LEAF = 5
+SAMPLE_PAGES = 20_000  # pages whose blocks may train the trees
+TREES = 40
+DEPTH = 10
+LEAST_LEAF = 3
+FEATURE_SHARE = 0.2  # of the features, looked at for each split
 BINS = 32
 SEED = 20_240_601
 HOST_WEIGHT = 0.25
@@ -38,7 +39,6 @@ _HOST = re.compile(r"(?:https?://)?([^/\s:?#]+)", re.I)
 _TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
 _SENTENCE = re.compile(r"[.?!;:。！？；]+(?=\s|$|[”’\"')])|[。！？；]")
 _VERSION = re.compile(r"\d+\.\d+\.\d+")
-_CAMEL = re.compile(r"\b[a-zA-Z]+[a-z][A-Z]\w*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _TECHNICAL = re.compile(
     r"^\s*(?:at\s+[\w.$<>]+\(|[-*+]\s+[\w.]+:[\w.-]+:\S+|\[(?:INFO|WARN(?:ING)?|ERROR|DEBUG)\]|[\w.$]+\.\w+\([^)]*\)\s*[:{]|//|/\*|\*\s|[})\]{]+;?\s*$|(?:public|private|protected|static|final|class|int|void|def|import|package|return)\b.*[;{(]|\d+\.\d+(?:\.\d+)*\s*\(\d{4}-|\w*(?:\.\w+)+(?:Exception|Error)\b|\[\d+\]\s+\S+\s\S+\s\S+\s\S+|[-*]\s+\[[^\]]+\]\()",
@@ -53,10 +53,22 @@ OFFER_WORDS = frozenset(
 )
 FEATURES = (
     "words", "distinct", "top3", "top1", "bigram_repeats", "urls", "hosts", "url_words", "tags", "caps", "bangs", "sentences", "function_words", "cjk",
-    "digits", "code", "line_words", "same_start", "title", "separators", "url_lines", "camel", "versions", "offers", "technical",
+    "digits", "code", "line_words", "same_start", "title", "separators", "url_lines", "mixed", "versions", "offers", "technical",
 )
 
 
+class _Classes(dict):
+    """Code point -> 'a' for letters, '9' for digits, itself else."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        out = self[code] = "a" if ch.isalpha() else "9" if ch.isdigit() else ch
+        return out
+
+
+_classes = _Classes()
+
+
 def blocks(text: str) -> list[str]:
     return [b for b in _BLOCK.split(text) if not b.isspace() and b]
 
@@ -67,16 +79,17 @@ def block_features(block: str) -> list[float] | None:
     n = len(words)
     if not n:
         return None
-    low = [w.lower() for w in words]
+    low = list(map(str.lower, words))
     counts = Counter(low)
-    top = [c for _, c in counts.most_common(3)]
+    top = sorted(counts.values())[:-4:-1]
     pairs = len(set(zip(low, low[1:])))
-    urls = _URL.findall(block)
+    urls = _URL.findall(block) if "://" in block or "ww." in block.lower() else []
     hosts = {m[1].lower() for m in map(_HOST.match, urls) if m}
     tokens = block.split()
     lines = [x for x in block.splitlines() if x.strip()]
-    starts = Counter(re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", x[:12]))[:4] for x in lines)
-    letters = sum(map(str.isalpha, block)) or 1
+    starts = Counter([x[:4].translate(_classes) for x in lines])
+    letters = sum(map(len, words))
+    caps, title, digits = sum(map(str.isupper, words)), sum(map(str.istitle, words)), sum(map(str.isdigit, words))
     return [
         math.log1p(n),
         len(counts) / n,
@@ -86,23 +99,23 @@ def block_features(block: str) -> list[float] | None:
         len(urls) / n,
         len(hosts) / len(urls) if urls else 0.0,
         sum(len(_WORD.findall(u)) for u in urls) / n,
-        len(_TAG.findall(block)) / len(tokens),
-        sum(len(w) > 2 and w.isupper() for w in words) / n,
+        len(_TAG.findall(block)) / len(tokens) if "#" in block else 0.0,
+        caps / n,
         block.count("!") / n,
         len(_SENTENCE.findall(block)) / n,
-        sum(len(w) <= 4 and w.islower() for w in words) / n,
-        len(_CJK.findall(block)) / letters,
-        sum(map(str.isdigit, words)) / n,
+        sum([c for w, c in counts.items() if len(w) <= 4 and w.isalpha()]) / n,
+        0.0 if block.isascii() else len(_CJK.findall(block)) / letters,
+        digits / n,
         sum(map(block.count, "(){};=<>")) / len(block),
         n / len(lines),
-        starts.most_common(1)[0][1] / len(lines),
-        sum(w[0].isupper() and w[1:].islower() for w in words) / n,
+        max(starts.values()) / len(lines),
+        title / n,
         sum(map(block.count, ",/|·#>")) / n,
-        sum(bool(_URL.search(x)) for x in lines) / len(lines),
-        len(_CAMEL.findall(block)) / n,
+        sum([("://" in x or "www." in x) for x in lines]) / len(lines) if urls else 0.0,
+        (n - caps - title - digits - sum(map(str.islower, words))) / n,
         len(_VERSION.findall(block)) / n,
-        sum(w in OFFER_WORDS for w in low) / n,
-        sum(bool(_TECHNICAL.match(x)) for x in lines) / len(lines),
+        sum([counts[w] for w in counts.keys() & OFFER_WORDS]) / n,
+        sum([_TECHNICAL.match(x) is not None for x in lines]) / len(lines),
     ]
 
 
@@ -131,18 +144,24 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
 
 
 class BaggedTrees:
-    """Decision trees on bootstrap samples; splits by Gini impurity over quantile bins of every feature."""
+    """Decision trees on bootstrap samples with as many rows of either class; splits by Gini impurity over bins.
+
+    The bins of a feature are quantiles of both classes, so that the rare class has bins of its own.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+        classes = [np.flatnonzero(y == k) for k in (0, 1)]
+        classes = [c for c in classes if len(c)]
+        steps = np.linspace(0, 1, BINS + 1)[1:-1]
+        self.edges = [np.unique(np.concatenate([np.quantile(x[c, j], steps) for c in classes])) for j in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
         self.trees = []
         for _ in range(trees):
-            rows = rng.integers(0, len(y), len(y))
-            self.trees.append(self._grow(binned[rows], y[rows].astype(float), depth))
+            rows = np.concatenate([rng.choice(c, len(y) // len(classes) + 1) for c in classes])
+            self.trees.append(self._grow(binned[rows], y[rows].astype(float), depth, rng))
 
-    def _grow(self, b: np.ndarray, y: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    def _grow(self, b: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut_at, left, right, value = [], [], [], [], []
 
         def node(rows: np.ndarray, depth: int) -> int:
@@ -154,7 +173,7 @@ class BaggedTrees:
                 return me
             best = (1e-9, -1, -1)
             here = len(rows) * mean * (1 - mean)
-            for j in range(b.shape[1]):
+            for j in rng.permutation(b.shape[1])[: max(1, int(b.shape[1] * FEATURE_SHARE))]:
                 k = len(self.edges[j]) + 1
                 if k < 2:
                     continue
@@ -200,15 +219,20 @@ def _page_blocks(text: str | None) -> list[list[float]]:
 
 
 def train(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BaggedTrees | None:
-    """Trees from the weakly labelled blocks of at most about ``sample_pages`` pages, taken by a hash of the text."""
+    """Trees from the weakly labelled blocks of at most about ``sample_pages`` pages, taken by a hash of the text.
+
+    What reaches the driver is bounded by sample_pages, whatever the size of the corpus.
+    """
     pages = documents.where("text IS NOT NULL").count()
     share = min(1.0, sample_pages / max(pages, 1))
     picked = documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {tuple(f) for text in batch.column(0).to_pylist() for f in _page_blocks(text)}
-            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in sorted(rows)], pa.list_(pa.float64()))], names=["f"])
+            rows = sorted({tuple(f) for text in batch.column(0).to_pylist() for f in _page_blocks(text)})
+            labels = weak_labels(np.array(rows)) if rows else []
+            kept = [list(r) for r, y in zip(rows, labels) if y >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.float64()))], names=["f"])
 
     rows = picked.select("text").mapInArrow(run, "f array<double>").toPandas()["f"]
     if not len(rows):
