@@ -50,14 +50,23 @@ def integrity_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return dup_node.unionByName(dup_arc).unionByName(unknown)
 
 
+def prefix_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with upto: the sum of ``value`` over all rows up to this one in the order of ``key`` (unique).
+
+    Rows are range-partitioned by the key and summed within the partitions; only the partitions' totals, one row
+    each, meet in one task.
+    """
+    parts = cut(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("_part").agg(F.sum(value).alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("_part", "_before")
+    local = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("_in", F.sum(value).over(local)).join(F.broadcast(before), "_part").withColumn("upto", F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
+
+
 def renumber(nodes: DataFrame) -> DataFrame:
-    """(node, number): dense numbers from 0 in node order, without one global window: offsets of range partitions."""
-    parts = nodes.select("node").distinct().repartitionByRange("node").select("node", F.spark_partition_id().alias("part"))
-    parts = cut(parts)
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("part", "before")
-    local = Window.partitionBy("part").orderBy("node")
-    return parts.withColumn("r", F.row_number().over(local) - 1).join(F.broadcast(offsets), "part").select("node", (F.col("before") + F.col("r")).cast("long").alias("number"))
+    """(node, number): dense numbers from 0 in node order."""
+    rows = prefix_sums(nodes.select("node").distinct().withColumn("one", F.lit(1).cast("long")), "node", "one")
+    return rows.select("node", (F.col("upto") - 1).alias("number"))
 
 
 # ---- traversal

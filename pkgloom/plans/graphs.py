@@ -301,7 +301,7 @@ def gap_cost(c):
 def prefix_sums(c):
     """Prefix counts and the k-th element of a weighted sequence, here the out-degrees in node order."""
     d = c.supplier_edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdegree"))
-    return d.withColumn("upto", F.sum("outdegree").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, 0)))
+    return g.prefix_sums(d, "node", "outdegree")
 
 
 QUERIES, SQL = graphs.queries, graphs.sql

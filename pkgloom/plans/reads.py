@@ -346,7 +346,7 @@ def dependency_version_ids(c):
     return named.distinct().join(v, (F.col("package_id") == F.col("dependency_id")) & (F.col("version") == F.col("v"))).select("package_version_id", "dependency_version_id")
 
 
-@reads("R44_created_at", "SELECT pv.id, package_name, version, coalesce(epoch_ms(created_at), -1) AS created_ms FROM (SELECT id AS pid, package_name FROM packages) p JOIN pv ON pv.package_id = p.pid")
+@reads("R44_created_at", "SELECT pv.id, package_name, version, coalesce(epoch_us(created_at) // 1000, -1) AS created_ms FROM (SELECT id AS pid, package_name FROM packages) p JOIN pv ON pv.package_id = p.pid")
 def created_ms(c):
     return versions_of_packages(c).select("id", "package_name", "version", F.coalesce(F.floor(micros("created_at") / 1000), F.lit(-1)).cast("long").alias("created_ms"))
 
