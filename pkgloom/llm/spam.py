@@ -36,8 +36,9 @@ _WORD = re.compile(r"[^\W_]+")
 _BLOCK = re.compile(r"(?:\r\n|\r|\n)[^\S\n]*(?:\r?\n)+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>()\[\]]+", re.I)
 _HOST = re.compile(r"(?:https?://)?([^/\s:?#]+)", re.I)
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|code|span|tt|mark|small)>", re.I)
 _TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
-_SENTENCE = re.compile(r"[.?!;:。！？；]+(?=\s|$|[”’\"')])|[。！？；]")
+_SENTENCE = re.compile(r"[.?;:。？；]+(?=\s|$|[”’\"')])|[。？；]")
 _VERSION = re.compile(r"\d+\.\d+\.\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _TECHNICAL = re.compile(
@@ -74,7 +75,9 @@ def blocks(text: str) -> list[str]:
 
 
 def block_features(block: str) -> list[float] | None:
-    """FEATURES of a block; None if it has no word."""
+    """FEATURES of a block without its inline markup; None if it has no word."""
+    if "<" in block:
+        block = _INLINE.sub("", block)
     words = _WORD.findall(block)
     n = len(words)
     if not n:
@@ -110,7 +113,7 @@ def block_features(block: str) -> list[float] | None:
         n / len(lines),
         max(starts.values()) / len(lines),
         title / n,
-        sum(map(block.count, ",/|·#>")) / n,
+        sum(map(block.count, ",/|·•")) / n,
         sum([("://" in x or "www." in x) for x in lines]) / len(lines) if urls else 0.0,
         (n - caps - title - digits - sum(map(str.islower, words))) / n,
         len(_VERSION.findall(block)) / n,
@@ -127,15 +130,17 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
         (f["tags"] >= 0.6) & (n >= 5),
         (f["offers"] >= 0.2) & (n >= 15) & (f["sentences"] < 0.08),
         (f["top3"] >= 0.4) & (n >= 30) & (f["technical"] < 0.3),
-        (f["bigram_repeats"] >= 0.5) & (n >= 30) & (f["technical"] < 0.3),
+        (f["bigram_repeats"] >= 0.5) & (n >= 30) & (f["technical"] < 0.3) & ((f["sentences"] < 0.03) | (f["top3"] >= 0.4)),
         (f["url_words"] >= 0.35) & (f["hosts"] >= 0.8) & (f["urls"] * n >= 5) & (f["technical"] < 0.3),
-        (f["bangs"] >= 0.08) & (f["caps"] >= 0.15) & (n >= 10),
+        (f["bangs"] >= 0.05) & (f["caps"] >= 0.15) & (n >= 10),
+        (f["separators"] >= 0.15) & (f["sentences"] < 0.02) & (f["line_words"] >= 20) & (f["technical"] < 0.3) & (n >= 40),
         (f["separators"] >= 0.15) & (f["title"] >= 0.3) & (f["distinct"] < 0.4) & (f["technical"] < 0.3) & (n >= 20),
     ]
     fair = [
         (f["function_words"] >= 0.25) & (f["distinct"] >= 0.45) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["sentences"] > 0.02),
         f["technical"] >= 0.5,
         (f["cjk"] >= 0.25) & (f["sentences"] >= 0.05) & (f["offers"] < 0.1),
+        (f["function_words"] >= 0.3) & (f["top3"] < 0.35) & (f["sentences"] >= 0.03) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["bangs"] < 0.02),
         (n < 8) & (f["offers"] < 0.2) & (f["urls"] < 0.2) & (f["tags"] < 0.5),
         (f["sentences"] >= 0.04) & (f["distinct"] >= 0.5) & (f["bigram_repeats"] < 0.2) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["bangs"] < 0.02),
     ]

@@ -76,8 +76,11 @@ class TokenizationAutomaton:
             self.shorter[t] = best
         self.length = {t: len(b) for t, b in self.bytes_of.items()}
         self.allowed: dict[int, dict[int, bool]] = {t: {} for t in self.bytes_of}
-        # an arc is dead if the gadgets never build it from its own bytes
-        self.dead = {t for t, (u, v) in self.split.items() if not self._stands(u, v, self.rank[t])}
+        # an arc is dead if the gadgets never build it from its own bytes: a part is dead, or the path of its parts is cut
+        self.dead: set[int] = set()
+        for t, (u, v) in self.split.items():
+            if u in self.dead or v in self.dead or not self._stands(u, v, self.rank[t]):
+                self.dead.add(t)
 
     def _stands(self, t: int, u: int, limit: int) -> bool:
         """Whether no gadget below ``limit`` cuts the path t, u: the two sides are undone merge by merge, the later first."""
