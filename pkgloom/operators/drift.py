@@ -12,6 +12,7 @@ Null, empty, broken or non-object messages, and messages without a version, are
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from math import sqrt
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.operators.jsonio import BIT, TYPES, kind, parse_object
+from pkgloom.operators.jsonio import BIT, kind, parse_object
+from pkgloom.session import cut
 
 BINS = 509
 _VERSION = re.compile(r"\d+(?:\.\d+)+(?:[.\-+]\w+)*")
 _RUN = re.compile(r"([a9])\1+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
+_NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
+NO_NUMBER = 64  # beside the type bits of a field: some plain value of it is not the text of a number
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 PROFILE_SCHEMA = "part int, version string, path string, parent string, bin int, w double, n long, types int"
@@ -177,6 +181,8 @@ def _emit(acc: dict) -> Iterator[pa.RecordBatch]:
     for (part, version), fields in acc.items():
         for path, (parent, n, types, bag) in fields.items():
             hist: dict[int, float] = {}
+            if any(not (text.isdigit() or _NUMBER.fullmatch(text)) for text in bag):
+                types |= NO_NUMBER
             for text, times in bag.items():
                 for b, w in _features(text):
                     hist[b] = hist.get(b, 0.0) + w * times
@@ -211,7 +217,7 @@ def _schemas(pdf: pd.DataFrame) -> dict[str, dict[str, Field]]:
         if f is None:
             f = out[version][path] = Field(parent)
         if b < 0:
-            f.n, f.types = f.n + n, f.types | types
+            f.n, f.types = f.n + n, f.types | types & ~NO_NUMBER
         else:
             f.hist[b] = f.hist.get(b, 0.0) + w
     return out
@@ -380,3 +386,100 @@ def field_aliases(profile: DataFrame, wanted: list[str]) -> dict[str, list[str]]
 
 def _parent(path: str) -> str:
     return path[: path.rfind(".") + 1]
+
+
+class Canon:
+    """Canonical names: per (canonical parent, key) the oldest name of the field, from the renames of all partitions."""
+
+    def __init__(self, renames: list[tuple[str, str]]):
+        self.key: dict[tuple[str, str], str] = {}
+        for a, b in sorted(renames, key=lambda p: (p[0].count("."), p)):  # outer objects first
+            parent = self.parent(_parent(a))
+            old, new = a[len(_parent(a)) :], b[len(_parent(b)) :]
+            root = self.key.get((parent, old), old)
+            if new != root:
+                self.key[parent, new] = root
+        for parent, k in list(self.key):
+            seen = {k}
+            while (parent, self.key[parent, k]) in self.key and self.key[parent, k] not in seen:  # a later pair may have named the root anew
+                seen.add(self.key[parent, k])
+                self.key[parent, k] = self.key[parent, self.key[parent, k]]
+
+    def parent(self, path: str) -> str:
+        """A parent prefix ('', 'a.', 'a[].b.') with each step under its canonical name."""
+        out = ""
+        for step in path.split(".")[:-1]:
+            name, marks = step.rstrip("[]"), step[len(step.rstrip("[]")) :]
+            out += self.key.get((out, name), name) + marks + "."
+        return out
+
+    def path(self, path: str) -> str:
+        p = self.parent(_parent(path))
+        k = path[len(_parent(path)) :]
+        return p + self.key.get((p, k), k)
+
+    def value(self, v, parent: str):
+        """A value with all keys inside it under their canonical names; where two meet, the canonical one wins."""
+        if type(v) is dict:
+            out = {}
+            for k, x in v.items():
+                name = self.key.get((parent, k), k)
+                if name not in out or name == k:
+                    out[name] = self.value(x, f"{parent}{name}.")
+            return out
+        if type(v) is list:
+            inner = parent[:-1] + "[]." if parent else parent
+            return [self.value(x, inner) for x in v]
+        return v
+
+
+def consistent_table(messages: DataFrame, key: str = "record_id", part: str = "topic_partition", message: str = "message") -> DataFrame:
+    """One row per message, one column per field: every message under the oldest names, types unified.
+
+    Columns are the fields outside arrays, in name order, '.' written as '__'. A field that is a number in any version,
+    and whose texts all are numbers too, is a double; other plain values are text; arrays are JSON text with canonical
+    names inside. No value is lost to a cast. Messages that are no JSON object have no row.
+    """
+    profile = cut(profile_fields(messages, part, message))
+    renames = [tuple(r) for r in field_changes(profile).where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]
+    canon = Canon(renames)
+    types: dict[str, int] = {}
+    for r in profile.where("bin = -1").groupBy("path").agg(F.bit_or("types").alias("types")).collect():
+        if "[]" not in r["path"]:
+            p = canon.path(r["path"])
+            types[p] = types.get(p, 0) | r["types"]
+    fields = sorted(p for p, t in types.items() if t & ~BIT["object"] or not t)
+    numeric = {p for p in fields if types[p] & BIT["number"] and not types[p] & (BIT["array"] | BIT["boolean"] | NO_NUMBER)}
+
+    def text(v) -> str | None:
+        if v is None or isinstance(v, str):
+            return v
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        return json.dumps(v, ensure_ascii=False, sort_keys=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = parse_object(t)
+                if m is not None:
+                    keys.append(k)
+                    rows.append(canon.value(m, ""))
+            cols = []
+            for f in fields:
+                steps, values = f.split("."), []
+                for row in rows:
+                    v = row
+                    for s in steps:
+                        v = v.get(s) if type(v) is dict else None
+                    values.append(None if type(v) is dict else text(v))
+                cols.append(pa.array(values, pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *cols], names=["key", *[f"f{i}" for i in range(len(fields))]])
+
+    raw = messages.select(F.col(key).cast("long"), F.col(message).cast("string")).mapInArrow(run, "key long" + "".join(f", f{i} string" for i in range(len(fields))))
+    out = [F.col("key").alias(key)]
+    for i, f in enumerate(fields):
+        c = F.col(f"f{i}")
+        out.append((c.try_cast("double") if f in numeric else c).alias(f.replace(".", "__")))
+    return raw.select(*out)

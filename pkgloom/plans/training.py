@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, repeated, with_digest
-from pkgloom.operators.drift import field_changes, profile_fields
+from pkgloom.operators.drift import consistent_table, field_changes, profile_fields
 from pkgloom.operators.hierarchy import coordinate_links, hierarchies
 from pkgloom.operators.nested import stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys
@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_changes(profile_fields(table(spark, sf_dir, "pom_messages")))
 
 
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in one table under the oldest names."""
+    return consistent_table(table(spark, sf_dir, "pom_messages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(with_digest(table(spark, sf_dir, "pom_messages"))).select(F.col("ord").alias("record_id"))
 
@@ -65,7 +70,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchies(coordinate_links(table(spark, sf_dir, "pom_messages")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_kept, p3_found, p3_per_package, p4_found, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_kept, p3_found, p3_per_package, p4_found, p5_found, p6_found)}
 
 _COUNTED = """
     (SELECT package_id, count(*) AS n_versions, min(epoch_us(created_at)) AS first_us, max(epoch_us(created_at)) AS last_us

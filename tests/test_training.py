@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, message_digest, new_messages, repeated, with_digest
-from pkgloom.operators.drift import compare_schemas, field_aliases, field_changes, name_similarity, profile_fields, version_key
+from pkgloom.operators.drift import compare_schemas, consistent_table, field_aliases, field_changes, name_similarity, profile_fields, version_key
 from pkgloom.operators.hierarchy import hierarchies, parse_coordinate
 from pkgloom.operators.jsonio import canonical_number
 from pkgloom.operators.nested import flatten, flatten_chain, stages_and_lines
@@ -70,6 +70,18 @@ def test_field_aliases(spark):
     assert names == {"plugin_name": ["plugin_name", "plugin"], "plugin_version": ["plugin_version", "version"], "created_at": ["created_at"]}
 
 
+def test_consistent_table(spark):
+    rows = [(i, p, m) for i, (p, m) in enumerate(_drift_rows())]
+    df = spark.createDataFrame(rows, "record_id long, topic_partition int, message string")
+    t = consistent_table(df)
+    assert t.columns == ["record_id", "created_at", "payload__checksum", "payload__deps", "payload__groupId", "payload__repoUrl", "plugin_name", "plugin_version"]
+    got = {r["record_id"]: r for r in t.collect()}
+    assert len(got) == 122  # messages that are objects
+    assert {r["plugin_version"] for r in got.values()} == {"0.9.0", "0.10.0", "0.10.1", "0.1.0", None}
+    assert got[41]["payload__repoUrl"] == "https://git.example/p1.git" and got[41]["plugin_name"] == "Reader" and got[41]["created_at"] == 1609459201
+    assert json.loads(got[3]["payload__deps"]) == [{"name": "d3", "optional": False}]
+
+
 def test_empty_drift(spark):
     df = spark.createDataFrame([], "topic_partition int, message string")
     assert field_changes(profile_fields(df)).count() == 0
