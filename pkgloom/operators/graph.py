@@ -83,9 +83,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, keys:
     on = [*keys, "node"]
     start = seeds.select(*on).distinct().join(nodes_of(edges), "node", "left_semi").select(*on)
     frontier, _ = scratch.write(start.withColumn("dist", F.lit(0)))
-    levels, depth = [frontier], 0
+    levels, depth, n = [frontier], 0, nodes_of(edges).count() if keys else 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
+        if keys:  # a search that has reached every node is over
+            whole = reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= n)
+            frontier = frontier.join(whole.select(*keys), list(keys), "left_anti")
         step = frontier.join(edges, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
         reached = reduce(DataFrame.unionByName, levels).select(*on)
         frontier, _ = scratch.write(step.join(reached, on, "left_anti").withColumn("dist", F.lit(depth)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pkgloom.functions.versions import constraint, split_constraints, version_key
-from pkgloom.operators.dependencies import constraint_sets, dependents, matches
+from pkgloom.operators.dependencies import constraint_sets, dependents, match_counts, source_counts
 from pkgloom.plans.registry import Registry
 
 deps = Registry()
@@ -55,15 +55,15 @@ def split_specs(c):
 @deps("D3_matching_revisions", f"WITH {_SETS} SELECT package_id, array_to_string(r, '|') AS ranges, count(*) AS n_versions FROM matched GROUP BY package_id, r")
 def matching_revisions(c):
     _, sets = constraint_sets(c.dependencies)
-    m = matches(sets, c.package_versions).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_versions"))
-    return m.select(F.split_part("set_id", F.lit("|"), F.lit(1)).cast("long").alias("package_id"), F.regexp_replace("set_id", r"^-?\d+\|", "").alias("ranges"), "n_versions")
+    m = match_counts(sets, c.package_versions)
+    return m.select(F.split_part("set_id", F.lit("|"), F.lit(1)).cast("long").alias("package_id"), F.regexp_replace("set_id", r"^-?\d+\|", "").alias("ranges"), F.col("n").alias("n_versions"))
 
 
 @deps("D4_dependency_edges", f"WITH {_SETS}, per AS (SELECT package_id, r, count(*) AS n FROM matched GROUP BY package_id, r) SELECT s.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_targets FROM sets s LEFT JOIN per ON per.package_id = s.package_id AND per.r = s.r GROUP BY s.source")
 def dependency_edges(c):
     """Out-degree of every version in the dependency graph, from the factorised tables."""
     uses, sets = constraint_sets(c.dependencies)
-    per = matches(sets, c.package_versions).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    per = match_counts(sets, c.package_versions)
     return uses.join(per, "set_id", "left").groupBy("source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_targets"))
 
 
@@ -71,8 +71,7 @@ def dependency_edges(c):
 def inverted_edges(c):
     """In-degree of every version: how many (source, set) name it."""
     uses, sets = constraint_sets(c.dependencies)
-    per = uses.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    return matches(sets, c.package_versions).join(per, "set_id").groupBy("target").agg(F.sum("n").alias("n_sources"))
+    return source_counts(uses, sets, c.package_versions).select("target", F.col("n").alias("n_sources"))
 
 
 _ROOT = "SELECT min(id) AS node FROM pv WHERE package_id = (SELECT min(package_id) FROM pv)"
@@ -84,7 +83,7 @@ def direct_dependents(c):
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    return dependents(uses, matches(sets, v), v, roots, "2017-01-01", transitive=False)
+    return dependents(uses, sets, v, roots, "2017-01-01", transitive=False)
 
 
 @deps("D6_transitive_dependents")
@@ -93,7 +92,7 @@ def transitive_dependents(c):
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    return dependents(uses, matches(sets, v), v, roots, "2017-01-01")
+    return dependents(uses, sets, v, roots, "2017-01-01")
 
 
 @deps("D7_revisions", "SELECT package_id, version, count(*) AS n_rows FROM package_versions GROUP BY package_id, version")
@@ -115,7 +114,7 @@ def invalidated_files(c):
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    hit = dependents(uses, matches(sets, v), v, roots, None, transitive=False)
+    hit = dependents(uses, sets, v, roots, None, transitive=False)
     p = c.packages.select(F.col("id").alias("package_id"), "package_name")
     j = hit.join(v.select(F.col("id").alias("node"), "package_id", "version"), "node").join(p, "package_id")
     group, artifact = F.split_part("package_name", F.lit(":"), F.lit(1)), F.split_part("package_name", F.lit(":"), F.lit(2))

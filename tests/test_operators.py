@@ -15,7 +15,7 @@ from pkgloom.functions import json_ops, uri
 from pkgloom.functions.versions import constraint, split_constraints, version_key
 from pkgloom.operators import graph as g
 from pkgloom.operators import stitching as m
-from pkgloom.operators.dependencies import constraint_sets, dependents, matches
+from pkgloom.operators.dependencies import constraint_sets, dependents, match_counts, matches, source_counts
 from pkgloom.operators.predicates import FilterStack, full_match, metadata_contains, pointer_matches
 from pkgloom.operators.upsert import append_new, get_or_create, last_of_each, upsert
 from pkgloom.plans.reads import in_intervals
@@ -182,6 +182,21 @@ def test_matching_revisions(spark, specs, expected):
     v = spark.createDataFrame([(1, 7, "1.0"), (2, 7, "2.0"), (3, 7, "3.0"), (4, 8, "2.0")], "id long, package_id long, version string")
     _, sets = constraint_sets(d)
     assert sorted(r["target"] for r in matches(sets, v).collect()) == [int(float(x)) for x in expected.split()]
+    assert sum(r["n"] for r in match_counts(sets, v).collect()) == len(expected.split())
+
+
+def test_counts_are_those_of_the_edges(spark):
+    rng = random.Random(8)
+    names = ["1.0", "1", "1.0.0", "1.5-rc1", "1.5", "2.0", "2.1-beta", "3", "3.0.1", "10.0"]
+    v = [(i, i % 3, rng.choice(names)) for i in range(60)]
+    specs = ["[1,2)", "(1,3]", "(,2.0]", "[1.5,)", "(,)", "1.0", "[1.0]", "3", "[9,1]", "(2.0,2.0]"]
+    d = [(100 + i, rng.randrange(3), rng.sample(specs, rng.randint(1, 3))) for i in range(40)]
+    versions = spark.createDataFrame(v, "id long, package_id long, version string")
+    uses, sets = constraint_sets(spark.createDataFrame(d, "package_version_id long, dependency_id long, version_range array<string>"))
+    edges = matches(sets, versions)
+    assert {tuple(r) for r in match_counts(sets, versions).collect()} == {tuple(r) for r in edges.groupBy("set_id").count().collect()}
+    into = uses.join(edges, "set_id").groupBy("target").count()
+    assert {tuple(r) for r in source_counts(uses, sets, versions).collect()} == {tuple(r) for r in into.collect()}
 
 
 def test_dependents(spark):
@@ -189,10 +204,10 @@ def test_dependents(spark):
     v = spark.createDataFrame([(i, 10 * i, "1.0", f"2020-01-0{i} 00:00:00") for i in range(1, 5)], "id long, package_id long, version string, t string").withColumn("created_at", F.col("t").cast("timestamp_ntz"))
     uses, sets = constraint_sets(d)
     roots = spark.createDataFrame([(1,)], "node long")
-    full = {r["node"]: r["dist"] for r in dependents(uses, matches(sets, v), v, roots).collect()}
+    full = {r["node"]: r["dist"] for r in dependents(uses, sets, v, roots).collect()}
     assert full == {2: 1, 3: 2, 4: 3, 1: 4}  # a cycle leads back to the root
-    assert {r["node"] for r in dependents(uses, matches(sets, v), v, roots, transitive=False).collect()} == {2}
-    assert dependents(uses, matches(sets, v), v, roots, since="2020-01-03 00:00:00").count() == 0
+    assert {r["node"] for r in dependents(uses, sets, v, roots, transitive=False).collect()} == {2}
+    assert dependents(uses, sets, v, roots, since="2020-01-03 00:00:00").count() == 0
 
 
 def test_constraint_texts(spark):
