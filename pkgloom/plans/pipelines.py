@@ -57,7 +57,7 @@ def graph_index(c):
 def vulnerability_propagation(c):
     """Changed lines of the patches, on the callables of all affected versions (line numbers folded to the length of the derived files)."""
     lines = flatten(c.vulnerabilities, "id", "statement", {"patches.new_changed_line_numbers"}).where("plain IS NOT NULL")
-    lines = lines.select(F.col("record_key").alias("vulnerability_id"), (F.col("plain").cast("int") % 50).alias("line")).distinct()
+    lines = lines.select(F.col("record_key").alias("vulnerability_id"), (F.col("plain").try_cast("int") % 50).alias("line")).distinct()
     m = c.modules.select(F.col("id").alias("module_id"), F.col("package_version_id").alias("version_id"))
     hit = affected_versions(c).join(m, "version_id").join(c.callables.select("id", "module_id", "line_start", "line_end"), "module_id").join(lines, "vulnerability_id")
     return hit.where("line BETWEEN line_start AND line_end").select("vulnerability_id", F.col("id").alias("callable_id")).distinct()
