@@ -55,3 +55,12 @@ def split_constraints(spec: Column) -> Column:
     """Array of constraints of a text: null is '*', a text that begins with '$' is one, brackets are kept whole."""
     many = F.regexp_extract_all(F.regexp_replace(spec, r"\s", ""), F.lit(r"([\[(][^\[\]()]*[\])]|[^,\[\]()]+)"), F.lit(1))
     return F.when(spec.isNull(), F.array(F.lit("*"))).when(spec.startswith("$"), F.array(spec)).otherwise(many)
+
+
+def dotted_range(spec: Column) -> dict[str, Column]:
+    """lower and upper of '[lo..hi]': blanks cut, null for an open end, both the same without dots; null for more than one '..'."""
+    inner = F.regexp_replace(spec, r"^\s*\[|\]\s*$", "")
+    parts = F.split(inner, r"\.\.")
+    one = F.when(F.size(parts) == 1, F.trim(parts[0]))
+    end = lambda i: F.when(F.size(parts) == 2, F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")))
+    return {"lower": F.coalesce(one, end(0)), "upper": F.coalesce(one, end(1))}

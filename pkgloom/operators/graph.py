@@ -113,6 +113,19 @@ def search(edges: DataFrame, seeds: DataFrame, forward: bool = True, max_depth:
     return rows if top is None else rows.limit(top)
 
 
+def search_within(edges: DataFrame, homes: DataFrame, revisions: DataFrame, seeds: DataFrame | None = None, forward: bool = True, **options) -> DataFrame:
+    """``search`` in the graph of some revisions only: the arcs whose ends both live there.
+
+    homes: (node, revision), a node living in any number of revisions. revisions: (revision), the first ones being
+    those searched from where no seeds are given: then every node of theirs is a seed (column ``root`` true).
+    """
+    inside = homes.join(revisions.select("revision"), "revision", "left_semi").select("node").distinct()
+    kept = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    if seeds is None:
+        seeds = homes.join(revisions.where("root").select("revision"), "revision", "left_semi").select("node").distinct()
+    return search(cut(kept), seeds, forward, **options)
+
+
 def reach_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, reached): how many nodes each node reaches, itself included."""
     all_nodes = nodes_of(edges).select(F.col("node").alias("source"), "node")

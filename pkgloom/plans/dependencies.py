@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pkgloom.functions.versions import constraint, split_constraints, version_key
-from pkgloom.operators.dependencies import constraint_sets, dependents, match_counts, source_counts
+from pkgloom.functions.versions import constraint, dotted_range, split_constraints, version_key
+from pkgloom.operators.dependencies import best_matches, constraint_sets, dependents, match_counts, resolve, source_counts
+from pkgloom.operators import graph as g
 from pkgloom.plans.registry import Registry
 
 deps = Registry()
@@ -126,4 +127,64 @@ def scopes(c):
     return c.dependencies.select(F.explode("dependency_type").alias("scope")).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
+@deps("D9_direct_resolution", f"WITH {_SETS}, best AS (SELECT m.package_id, m.r, arg_max(vk.version, (vk.k, vk.version)) AS version FROM matched m JOIN vk ON vk.id = m.target GROUP BY 1, 2) SELECT DISTINCT s.source, best.version, best.package_id FROM sets s JOIN best ON best.package_id = s.package_id AND best.r = s.r")
+def direct_resolution(c):
+    """The highest version that each dependency allows."""
+    uses, sets = constraint_sets(c.dependencies)
+    v = c.package_versions
+    found = uses.join(best_matches(sets, v), "set_id").join(v.select(F.col("id").alias("target"), "package_id", "version"), "target")
+    return found.select("source", "package_id", "version").distinct()
+
+
+def _roots(c):
+    """The version with the most dependencies that any version satisfies, the smallest id of several."""
+    uses, sets = constraint_sets(c.dependencies)
+    per = uses.join(best_matches(sets, c.package_versions), "set_id").groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return per.orderBy(F.desc("n"), "node").limit(1).select("node")
+
+
+@deps("D9_transitive_resolution")
+def transitive_resolution(c):
+    uses, sets = constraint_sets(c.dependencies)
+    return resolve(uses, sets, c.package_versions, _roots(c))
+
+
+@deps("G2_search_from_revision")
+def search_from_revision(c):
+    """What the nodes of a version reach within it and the versions it resolves to, in the graph across versions."""
+    uses, sets = constraint_sets(c.dependencies)
+    revisions = resolve(uses, sets, c.package_versions, _roots(c)).select(F.col("node").alias("revision"), (F.col("dist") == 0).alias("root"))
+    homes = c.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("revision")).distinct()
+    return g.search_within(c.part_edges, homes, revisions)
+
+
+@deps("G3_search_of_dependents")
+def search_of_dependents(c):
+    """Which nodes of a version's dependents reach the nodes of the version."""
+    uses, sets = constraint_sets(c.dependencies)
+    v = c.package_versions
+    first = v.agg(F.min("package_id").alias("package_id"))
+    root = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
+    up = dependents(uses, sets, v, root, None, transitive=False).select(F.col("node").alias("revision"), F.lit(False).alias("root"))
+    revisions = up.unionByName(root.select(F.col("node").alias("revision"), F.lit(True).alias("root")))
+    homes = c.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("revision")).distinct()
+    return g.search_within(c.part_edges, homes, revisions, forward=False)
+
+
+@deps("D13_maven_purls", "SELECT DISTINCT x.package_name || ':' || x.package_version AS coordinate FROM vpurls x WHERE purl LIKE 'pkg:maven/%'")
+def maven_purls(c):
+    """Coordinates of all Maven package URLs."""
+    from pkgloom.functions import uri
+
+    p = uri.purl_parts("purl")
+    return c.vulnerabilities_purls.where(p["type"] == "maven").select(F.concat_ws(":", uri.purl_package("purl"), p["version"]).alias("coordinate")).distinct()
+
+
+@deps("D14_dotted_ranges", "SELECT DISTINCT p_size::VARCHAR AS lower, CASE WHEN p_size % 2 = 0 THEN p_size + 1 END::VARCHAR AS upper FROM part")
+def dotted_ranges(c):
+    """Ranges of the older form, every second one open."""
+    spec = F.concat(F.lit("[ "), F.col("p_size").cast("string"), F.lit(" .."), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") + 1).cast("string")).otherwise(""), F.lit("]"))
+    return c.part.select(*[x.alias(k) for k, x in dotted_range(spec).items()]).distinct()
+
+
 QUERIES, SQL = deps.queries, deps.sql

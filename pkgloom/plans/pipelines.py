@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.functions import uri
+from pkgloom.functions import json_ops, uri
 from pkgloom.functions.versions import version_key
 from pkgloom.operators import graph as g
 from pkgloom.operators.nested import flatten
@@ -155,4 +155,37 @@ def layered_labels(c):
     return g.log_gap_cost(c.supplier_edges, order)
 
 
+_FORGE = ", ".join(f"CASE WHEN json_exists(message, '$.{'input.' * k}payload.forge') THEN json_extract_string(message, '$.{'input.' * k}payload.artifactId') END" for k in range(8))
+
+
+@pipelines("F17_payload_with_forge", f"SELECT record_id, coalesce({_FORGE}) AS artifact FROM callable_messages")
+def payload_with_forge(c):
+    """The artifact in the outermost payload that names a forge."""
+    p = F.try_parse_json(json_ops.first_payload_with("message", "forge"))
+    return c.callable_messages.select("record_id", F.try_variant_get(p, "$.artifactId", "string").alias("artifact"))
+
+
+@pipelines("O6_few_chains", "SELECT package_version_id, source_id FROM (SELECT m.package_version_id, s.source_id, row_number() OVER (PARTITION BY m.package_version_id ORDER BY s.source_id, s.target_id) AS rn FROM call_sites s JOIN callables cl ON cl.id = s.source_id JOIN modules m ON m.id = cl.module_id) WHERE rn <= 5")
+def few_chains(c):
+    """The first five calls of each version."""
+    from pyspark.sql.window import Window
+
+    cl = c.callables.select(F.col("id").alias("source_id"), "module_id").join(c.modules.select(F.col("id").alias("module_id"), "package_version_id"), "module_id")
+    w = Window.partitionBy("package_version_id").orderBy("source_id", "target_id")
+    return c.call_sites.join(cl, "source_id").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("package_version_id", "source_id")
+
+
+@pipelines("A11_reach_summary", "WITH sg AS (SELECT * FROM supplier_edges), r1 AS (SELECT src AS s, src AS t FROM sg UNION SELECT dst, dst FROM sg UNION SELECT src, dst FROM sg), r2 AS (SELECT s, t FROM r1 UNION SELECT r1.s, sg.dst FROM r1 JOIN sg ON sg.src = r1.t) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT s, count(*) AS n FROM r2 GROUP BY s)")
+def reach_summary(c):
+    return g.reach_counts(c.supplier_edges, 2).agg(F.min("reached").alias("least"), F.max("reached").alias("most"), F.round(F.avg("reached"), 6).alias("mean"))
+
+
+@pipelines("G0i_search_order", "WITH d0 AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d), d1 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT e.dst, 1 FROM d0 JOIN part_edges e ON e.src = node) GROUP BY node), d2 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT e.dst, 2 FROM d1 JOIN part_edges e ON e.src = node WHERE d = 1) GROUP BY node) SELECT node, row_number() OVER (ORDER BY d, node) - 1 AS number FROM d2")
+def search_order(c):
+    """Nodes renumbered in the order of a search, distance first, then node."""
+    seed = c.spark.createDataFrame([(1,)], "node long")
+    found = g.bfs(c.part_edges, seed, 2).select(F.struct("dist", "node").alias("node"))
+    return g.renumber(found).select("node.node", "number")
+
+
 QUERIES, SQL = pipelines.queries, pipelines.sql

@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pkgloom.functions import json_ops, uri
-from pkgloom.functions.versions import constraint, split_constraints, version_key
+from pkgloom.functions.versions import constraint, dotted_range, split_constraints, version_key
 from pkgloom.operators import graph as g
 from pkgloom.operators import stitching as m
-from pkgloom.operators.dependencies import constraint_sets, dependents, match_counts, matches, source_counts
+from pkgloom.operators.dependencies import constraint_sets, dependents, match_counts, matches, resolve, source_counts
 from pkgloom.operators.predicates import FilterStack, full_match, metadata_contains, pointer_matches
 from pkgloom.operators.upsert import append_new, get_or_create, last_of_each, upsert
 from pkgloom.plans.reads import in_intervals
@@ -210,6 +210,24 @@ def test_dependents(spark):
     assert dependents(uses, sets, v, roots, since="2020-01-03 00:00:00").count() == 0
 
 
+def test_resolve_and_search_within(spark):
+    d = spark.createDataFrame([(1, 20, ["[1.0,2.0)"]), (2, 30, ["9"]), (3, 30, ["[1.0,]"])], "package_version_id long, dependency_id long, version_range array<string>")
+    v = spark.createDataFrame([(1, 10, "1"), (2, 20, "1.0"), (3, 20, "1.9"), (4, 20, "2.0"), (5, 30, "3"), (6, 30, "10")], "id long, package_id long, version string")
+    uses, sets = constraint_sets(d)
+    got = {r["node"]: r["dist"] for r in resolve(uses, sets, v, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got == {1: 0, 3: 1, 6: 2}
+    homes = spark.createDataFrame([(100, 1), (101, 1), (102, 3), (103, 6), (104, 5)], "node long, revision long")
+    revisions = spark.createDataFrame([(k, x == 0) for k, x in got.items()], "revision long, root boolean")
+    e = edges_of(spark, [(100, 102), (102, 103), (102, 104), (104, 103), (101, 100)])
+    assert {r["node"]: r["dist"] for r in g.search_within(e, homes, revisions).collect()} == {102: 1, 103: 2}
+
+
+def test_dotted_ranges(spark):
+    df = spark.createDataFrame([("[1.2..1.5]",), ("[2.3..]",), ("[ 2.0.1 ]",), ("[..4]",), ("[1..2..3]",), (None,)], "s string")
+    got = {r["s"]: (r["lower"], r["upper"]) for r in df.select("s", *[c.alias(k) for k, c in dotted_range(F.col("s")).items()]).collect()}
+    assert got == {"[1.2..1.5]": ("1.2", "1.5"), "[2.3..]": ("2.3", None), "[ 2.0.1 ]": ("2.0.1", "2.0.1"), "[..4]": (None, "4"), "[1..2..3]": (None, None), None: (None, None)}
+
+
 def test_constraint_texts(spark):
     specs = ["[1.0],[2,3]", "1.0", "$x,y", None, "(,1],(2,)"]
     df = spark.createDataFrame([(s,) for s in specs], "s string").select("s", split_constraints(F.col("s")).alias("c"))
