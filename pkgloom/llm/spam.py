@@ -224,13 +224,13 @@ def _page_blocks(text: str | None) -> list[list[float]]:
 
 
 def train(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BaggedTrees | None:
-    """Trees from the weakly labelled blocks of at most about ``sample_pages`` pages, taken by a hash of the text.
+    """Trees from the weakly labelled blocks of at most about ``sample_pages`` pages, taken by a hash of the id.
 
     What reaches the driver is bounded by sample_pages, whatever the size of the corpus.
     """
     pages = documents.where("text IS NOT NULL").count()
     share = min(1.0, sample_pages / max(pages, 1))
-    picked = documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    picked = documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
