@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from math import sqrt
+from typing import Any
 from zlib import crc32
 
 import pandas as pd
@@ -115,7 +116,7 @@ def version_key(version: str) -> tuple:
     return digits, "-" not in version, tuple((0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|[^\W\d]+", version)), version
 
 
-def _walk(obj: dict, parent: str, depth: int, within, acc: dict) -> None:
+def _walk(obj: dict, parent: str, within: set[str] | None, acc: dict) -> None:
     for k, v in obj.items():
         path = parent + k
         slot = acc.get(path)
@@ -128,15 +129,15 @@ def _walk(obj: dict, parent: str, depth: int, within, acc: dict) -> None:
         slot[2] |= BIT[t]
         if t == "object":
             if within is None or path + "." in within:
-                _walk(v, path + ".", depth + 1, within, acc)
+                _walk(v, path + ".", within, acc)
         elif t == "array":
             plain = []
             for x in v:
                 if type(x) is dict:
                     if within is None or path + "[]." in within:
-                        _walk(x, path + "[].", depth + 1, within, acc)
+                        _walk(x, path + "[].", within, acc)
                 elif type(x) is list:
-                    _walk_nested(x, path + "[]", depth + 1, within, acc)
+                    _walk_nested(x, path + "[]", within, acc)
                 elif x is not None:
                     plain.append(x)
             bag = slot[3]
@@ -147,13 +148,13 @@ def _walk(obj: dict, parent: str, depth: int, within, acc: dict) -> None:
             bag[text] = bag.get(text, 0) + 1
 
 
-def _walk_nested(items: list, path: str, depth: int, within, acc: dict) -> None:
+def _walk_nested(items: list, path: str, within: set[str] | None, acc: dict) -> None:
     for x in items:
         if type(x) is dict:
             if within is None or path + "[]." in within:
-                _walk(x, path + "[].", depth, within, acc)
+                _walk(x, path + "[].", within, acc)
         elif type(x) is list:
-            _walk_nested(x, path + "[]", depth + 1, within, acc)
+            _walk_nested(x, path + "[]", within, acc)
 
 
 def _profiler(within, version_name: str):
@@ -167,7 +168,7 @@ def _profiler(within, version_name: str):
                 if not v:
                     continue
                 seen += 1
-                _walk(m, "", 0, within, acc.setdefault((part, v[1]), {}))
+                _walk(m, "", within, acc.setdefault((part, v[1]), {}))
             if seen > 20_000:  # bounds the worker's memory, not the result: partial profiles add up
                 yield from _emit(acc)
                 acc, seen = {}, 0
@@ -340,7 +341,7 @@ def field_changes(profile: DataFrame) -> DataFrame:
     A group holds one row per (version, field, bin), so its size follows the schema, not the number of messages.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         schemas = _schemas(pdf)
         order = sorted(schemas, key=version_key)
         rows = [(key[0], v, a, b, k) for u, v in zip(order, order[1:]) for a, b, k in compare_schemas(schemas[u], schemas[v])]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pkgloom.plans.registry import Registry, micros
 from pkgloom.sources.catalog import Catalog
