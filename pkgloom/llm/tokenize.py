@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 250_000  # bounds of a worker's memory, not of the result
+TABLE_ARCS = 1_000_000
 
 # The public pattern that splits text before the merges, and the same for pure ASCII.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -54,13 +55,14 @@ class TokenizationAutomaton:
 
     def __init__(self, single: np.ndarray, merges: np.ndarray):
         self.bytes_of: dict[int, bytes] = {int(t): bytes([b]) for b, t in enumerate(single)}
-        self.rank: dict[int, int] = {int(t): -1 for t in single}
-        self.gadget: dict[tuple[int, int], int] = {}
-        self.split: dict[int, tuple[int, int]] = {}
+        size = int(max(single.max(), merges.max() if len(merges) else 0)) + 1
+        self.rank = [-1] * size  # of the merge that builds a label; -1 for single bytes
+        self.left, self.right = [-1] * size, [-1] * size  # its two parts
+        self.gadget: dict[int, int] = {}  # u << 32 | v -> rank
         for r, (u, v, w) in enumerate(merges.tolist()):
-            self.gadget.setdefault((u, v), r)
-            if w not in self.rank:
-                self.rank[w], self.split[w], self.bytes_of[w] = r, (u, v), self.bytes_of[u] + self.bytes_of[v]
+            self.gadget.setdefault(u << 32 | v, r)
+            if w not in self.bytes_of:
+                self.rank[w], self.left[w], self.right[w], self.bytes_of[w] = r, u, v, self.bytes_of[u] + self.bytes_of[v]
         self.root: dict = {}  # trie: byte -> next state; under -1 the label of the arc spelled so far
         self.shorter: dict[int, int] = {}  # the longest arc that spells a proper prefix, or -1
         for t, b in self.bytes_of.items():
@@ -78,34 +80,44 @@ class TokenizationAutomaton:
         self.allowed: dict[int, dict[int, bool]] = {t: {} for t in self.bytes_of}
         # an arc is dead if the gadgets never build it from its own bytes: a part is dead, or the path of its parts is cut
         self.dead: set[int] = set()
-        for t, (u, v) in self.split.items():
-            if u in self.dead or v in self.dead or not self._stands(u, v, self.rank[t]):
+        for t in self.bytes_of:  # parts before what they build
+            u, v = self.left[t], self.right[t]
+            if u >= 0 and (u in self.dead or v in self.dead or not self._stands(u, v, self.rank[t])):
                 self.dead.add(t)
+        self.filled = 0
 
     def _stands(self, t: int, u: int, limit: int) -> bool:
         """Whether no gadget below ``limit`` cuts the path t, u: the two sides are undone merge by merge, the later first."""
-        rank, split, gadget = self.rank, self.split, self.gadget
+        rank, left, right, gadget = self.rank, self.left, self.right, self.gadget
+        rt, ru = rank[t], rank[u]
         while True:
-            r = gadget.get((t, u))
+            r = gadget.get(t << 32 | u)
             if r is not None and r < limit:
                 return False
-            rt, ru = rank[t], rank[u]
-            if rt < 0 and ru < 0:
-                return True
             if rt > ru:  # before rank rt the left side ended in its right part
-                limit = min(limit, rt)
-                t = split[t][1]
-            else:  # a merge goes from left to right, so its own rank may already have joined t with the left part of u
-                limit = min(limit, ru + 1)
-                u = split[u][0]
+                limit, t = rt, right[t]
+                rt = rank[t]
+            elif ru >= 0:  # a merge goes from left to right, so its own rank may already have joined t with the left part of u
+                limit, u = ru + 1, left[u]
+                ru = rank[u]
+            else:
+                return True
+
+    def _resolve(self, t: int, u: int) -> bool:
+        """Fills in the arc u of the state t; the table is emptied when full."""
+        self.filled += 1
+        if self.filled > TABLE_ARCS:
+            for row in self.allowed.values():
+                row.clear()
+            self.filled = 1
+        ok = self.allowed[t][u] = self._stands(t, u, 1 << 60)
+        return ok
 
     def allows(self, t: int, u: int) -> bool:
         """Transition table: whether the arc u leaves the state after the arc t."""
         row = self.allowed[t]
         ok = row.get(u)
-        if ok is None:
-            ok = row[u] = self._stands(t, u, 1 << 60)
-        return ok
+        return self._resolve(t, u) if ok is None else ok
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path that spells ``word``."""
@@ -128,7 +140,7 @@ class TokenizationAutomaton:
                             break
                         ok = row.get(t)
                         if ok is None:
-                            ok = row[t] = self._stands(out[-1], t, 1 << 60)
+                            ok = self._resolve(out[-1], t)
                         if ok:
                             break
                     t = shorter[t]
