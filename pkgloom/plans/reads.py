@@ -19,10 +19,10 @@ def coordinate(name: str | Column = "package_name", version: str | Column = "ver
     return F.concat_ws(":", name, version)
 
 
-def versions_of_packages(c: Catalog) -> DataFrame:
-    """packages joined with their versions: pid, package_name, forge, id, version, cg_generator, artifact_repository_id, created_at, metadata."""
+def versions_of_packages(c: Catalog, *columns: str) -> DataFrame:
+    """packages joined with their versions: pid, package_name, forge, id, version and the columns of the version named."""
     p = c.packages.select(F.col("id").alias("pid"), "package_name", "forge")
-    return p.join(c.package_versions.select("id", "package_id", "version", "cg_generator", "artifact_repository_id", "created_at", "metadata"), F.col("pid") == F.col("package_id")).drop("package_id")
+    return p.join(c.versions("package_id", "version", *columns), F.col("pid") == F.col("package_id")).drop("package_id")
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
@@ -65,7 +65,7 @@ def modules_exist(c):
 )
 def last_version(c):
     """The latest version of every package: one compact state per package instead of a sort of its versions."""
-    latest = c.package_versions.groupBy("package_id").agg(F.max(F.struct("created_at", "id", "version", "artifact_repository_id")).alias("v"))
+    latest = c.table("package_versions").groupBy("package_id").agg(F.max(F.struct("created_at", "id", "version", "artifact_repository_id")).alias("v"))
     j = c.packages.join(latest, F.col("package_id") == F.col("id"), "left").select("package_name", "v.version", "v.artifact_repository_id")
     return j.join(F.broadcast(c.artifact_repositories), F.col("artifact_repository_id") == F.col("id"), "left").select("package_name", "version", "repository_base_url")
 
@@ -78,7 +78,7 @@ def packages_page(c):
 @reads("R8_package_version", "SELECT pv.id, package_name, version, cg_generator, repository_base_url FROM packages p JOIN pv ON pv.package_id = p.id LEFT JOIN artifact_repositories a ON a.id = pv.artifact_repository_id")
 def package_version(c):
     a = c.artifact_repositories.withColumnRenamed("id", "aid")
-    return versions_of_packages(c).join(F.broadcast(a), F.col("artifact_repository_id") == F.col("aid"), "left").select("id", "package_name", "version", "cg_generator", "repository_base_url")
+    return versions_of_packages(c, "cg_generator", "artifact_repository_id").join(F.broadcast(a), F.col("artifact_repository_id") == F.col("aid"), "left").select("id", "package_name", "version", "cg_generator", "repository_base_url")
 
 
 @reads("R9_versions_of_package", "SELECT package_name, count(*) AS n_versions, count(DISTINCT version) AS n_distinct FROM packages p JOIN pv ON pv.package_id = p.id GROUP BY package_name")
@@ -163,7 +163,7 @@ def binary_modules(c):
 
 
 def callables_of_packages(c: Catalog) -> DataFrame:
-    v = versions_of_packages(c).select(F.col("id").alias("vid"), "package_name", "version", "forge", "created_at")
+    v = versions_of_packages(c).select(F.col("id").alias("vid"), "package_name", "version", "forge")
     m = c.modules.select(F.col("id").alias("mid"), "package_version_id")
     return v.join(m, F.col("package_version_id") == F.col("vid")).join(c.callables, F.col("module_id") == F.col("mid"))
 
@@ -284,14 +284,14 @@ def search_names(c):
 @reads("R33_dependency_net", "SELECT p.forge, p.package_name, epoch_us(pv.created_at) AS at_us, count(*) AS n_dependencies FROM packages p JOIN pv ON pv.package_id = p.id JOIN deps d ON d.package_version_id = pv.id WHERE pv.created_at IS NOT NULL GROUP BY ALL")
 def dependency_net(c):
     d = c.dependencies.select("package_version_id")
-    j = versions_of_packages(c).where("created_at IS NOT NULL").join(d, F.col("package_version_id") == F.col("id"))
+    j = versions_of_packages(c, "created_at").where("created_at IS NOT NULL").join(d, F.col("package_version_id") == F.col("id"))
     return j.groupBy("forge", "package_name", micros("created_at").alias("at_us")).agg(F.count(F.lit(1)).alias("n_dependencies"))
 
 
 @reads("R34_call_graph_at", "SELECT p.forge, p.package_name, epoch_us(pv.created_at) AS at_us, count(*) AS n_modules FROM packages p JOIN pv ON pv.package_id = p.id JOIN modules m ON m.package_version_id = pv.id WHERE pv.created_at IS NOT NULL GROUP BY ALL")
 def call_graph_at(c):
     m = c.modules.select("package_version_id")
-    j = versions_of_packages(c).where("created_at IS NOT NULL").join(m, F.col("package_version_id") == F.col("id"))
+    j = versions_of_packages(c, "created_at").where("created_at IS NOT NULL").join(m, F.col("package_version_id") == F.col("id"))
     return j.groupBy("forge", "package_name", micros("created_at").alias("at_us")).agg(F.count(F.lit(1)).alias("n_modules"))
 
 
@@ -347,7 +347,7 @@ def dependency_version_ids(c):
 
 @reads("R44_created_at", "SELECT pv.id, package_name, version, coalesce(epoch_us(created_at) // 1000, -1) AS created_ms FROM (SELECT id AS pid, package_name FROM packages) p JOIN pv ON pv.package_id = p.pid")
 def created_ms(c):
-    return versions_of_packages(c).select("id", "package_name", "version", F.coalesce(F.floor(micros("created_at") / 1000), F.lit(-1)).cast("long").alias("created_ms"))
+    return versions_of_packages(c, "created_at").select("id", "package_name", "version", F.coalesce(F.floor(micros("created_at") / 1000), F.lit(-1)).cast("long").alias("created_ms"))
 
 
 @reads(

@@ -30,6 +30,10 @@ class Catalog:
         """One row per id: deliveries that came twice, whole and unchanged, count once."""
         return self.table("package_versions").dropDuplicates(["id"])
 
+    def versions(self, *columns: str) -> DataFrame:
+        """id and some columns of the versions, each once: the scan reads these columns only, and hashes them."""
+        return self.table("package_versions").select("id", *columns).distinct()
+
     @cached_property
     def dependencies(self) -> DataFrame:
         return self.table("dependencies").distinct()
