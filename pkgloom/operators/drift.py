@@ -43,9 +43,11 @@ class _Bins(dict):
     """token -> its bin, computed once; emptied when full."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        b = self[token] = crc32(token.encode("utf-8", "surrogatepass")) % (BINS - 1) + 1
+        b = crc32(token.encode("utf-8", "surrogatepass")) % (BINS - 1) + 1
+        if len(token) < 200:  # long ones are hashed again each time rather than kept
+            if len(self) > 200_000:
+                self.clear()
+            self[token] = b
         return b
 
 
@@ -65,10 +67,9 @@ def _features(text: str) -> list[tuple[int, float]]:
     """Hashed features of a scalar: its shape and its words; of a number its length and leading digits."""
     if not text:
         return [(0, 1.0)]
-    text = text[:256]
     if text.isascii() and text.isdigit():
         return [(_bins[f"d{len(text)}"], 1.0), (_bins[f"d{len(text)}:{text[:2]}"], 0.5)]
-    words = _WORD.findall(text)[:8]
+    words = _WORD.findall(text)
     out = [(_bins[_RUN.sub(r"\1", text.translate(_letters))], 1.0)]
     if words:
         weight = 1.0 / len(words)
