@@ -56,8 +56,8 @@ def has_key(json: Column | str, key: str) -> Column:
     return F.coalesce(F.array_contains(F.map_keys(as_map(json)), key), F.lit(False))
 
 
-def first_payload_with(json: Column | str, key: str, depth: int = 8) -> Column:
-    """JSON of the outermost ``payload`` that has ``key``, along a chain of ``input``s."""
+def first_payload_with(json: Column | str, key: str, depth: int = 16) -> Column:
+    """JSON of the outermost ``payload`` that has ``key``, along a chain of at most ``depth`` ``input``s."""
     v, found, path = F.try_parse_json(_c(json)), [], "$"
     for _ in range(depth):
         has = F.try_variant_get(v, f"{path}.payload.{key}", "variant").isNotNull()

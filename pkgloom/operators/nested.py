@@ -68,9 +68,7 @@ def _stages(text: str | None, key: str) -> Iterator[tuple[int, dict]]:
     while isinstance(v, dict):
         yield depth, v
         v, depth = v.get(key), depth + 1
-        for _ in range(8):
-            if not isinstance(v, str):
-                break
+        while isinstance(v, str):  # text may hold text; each step is shorter
             v = parse_value(v)
 
 
