@@ -56,12 +56,12 @@ class Catalog:
     def callables(self) -> DataFrame:
         """id, module_id, uri, is_internal_call, line_start, line_end, type."""
         c = F.col
-        one = self.table("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("flag"))
+        one = self.table("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").cast("int").alias("q"), F.max(F.col("l_returnflag") != "R").alias("internal"))
         return one.select(
             (c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("id"),
             (c("l_orderkey") * 10 + c("l_linenumber")).alias("module_id"),
             F.concat(F.lit("/ns"), (c("l_partkey") % 25).cast("string"), F.lit("/Type"), (c("l_partkey") % 200).cast("string"), F.lit(".m"), c("l_partkey").cast("string"), F.lit("(%2Fjava.lang%2FString)%2Fint")).alias("uri"),
-            (c("flag") != "R").alias("is_internal_call"),
+            c("internal").alias("is_internal_call"),
             c("l_linenumber").cast("int").alias("line_start"),
             (c("l_linenumber") + c("q")).cast("int").alias("line_end"),
             F.when(c("l_linenumber") == 1, "internalBinary").otherwise("externalProduct").alias("type"),
@@ -77,7 +77,8 @@ class Catalog:
         return (
             j.select((key + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("source_id"), (key + (F.col("l_linenumber") + 1) * 1_000_000 + F.col("to_part")).alias("target_id"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_linestatus").alias("status"))
             .groupBy("source_id", "target_id", "line")
-            .agg(F.when(F.min("status") == "F", "static").otherwise("dynamic").alias("call_type"))
+            .agg(F.max(F.col("status") == "F").alias("f"))
+            .select("source_id", "target_id", "line", F.when(F.col("f"), "static").otherwise("dynamic").alias("call_type"))
         )
 
     @cached_property
