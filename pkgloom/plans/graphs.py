@@ -177,23 +177,42 @@ def _rank_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
 
 @graphs("C8_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, 'SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS p FROM nd')} SELECT node, round(x, 10) AS x FROM x5")
 def pagerank5(c):
+    """The first five rounds, as its SQL has them; C8_pagerank_converged is the measure."""
     return g.pagerank(c.part_edges, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
 
 
+@graphs("C8_pagerank_converged")
+def pagerank_converged(c):
+    return g.pagerank(c.part_edges).select("node", F.round("x", 10).alias("x"))
+
+
 _PREF = "SELECT nd.node, CASE WHEN node % 10 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM nd WHERE node % 10 = 0) ELSE 0 END AS p FROM nd"
 
 
 @graphs("C18_preferential_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, _PREF)} SELECT node, round(x, 10) AS x FROM x5")
 def preferential(c):
+    """The first five rounds, as its SQL has them."""
     q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
     return g.pagerank(c.part_edges, preference=q, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
 
 
+@graphs("C18_preferential_pagerank_converged")
+def preferential_converged(c):
+    q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
+    return g.pagerank(c.part_edges, preference=q).select("node", F.round("x", 10).alias("x"))
+
+
 @graphs("C19_single_source_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, f'SELECT node, CASE WHEN node = {SEED_NODE} THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 10) AS x FROM x5")
 def single_source(c):
+    """The first five rounds, as its SQL has them."""
     return g.pagerank(c.part_edges, preference=_seed(c).withColumn("weight", F.lit(1.0)), rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
 
 
+@graphs("C19_single_source_pagerank_converged")
+def single_source_converged(c):
+    return g.pagerank(c.part_edges, preference=_seed(c).withColumn("weight", F.lit(1.0))).select("node", F.round("x", 10).alias("x"))
+
+
 def _katz_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"pf AS ({pref})", "x0 AS (SELECT node, p AS x FROM pf)"]
     for r in range(1, rounds + 1):
@@ -203,15 +222,28 @@ def _katz_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
 
 @graphs("C7_katz", f"WITH {_katz_sql('part_edges', 5, 0.01, 'SELECT node, 1.0::DOUBLE AS p FROM nd')} SELECT node, round(x, 8) AS x FROM x5")
 def katz5(c):
+    """The first five rounds, as its SQL has them."""
     return g.katz(c.part_edges, 0.01, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
 
 
+@graphs("C7_katz_converged")
+def katz_converged(c):
+    return g.katz(c.part_edges, 0.01).select("node", F.round("x", 8).alias("x"))
+
+
 @graphs("C17_query_katz", f"WITH {_katz_sql('part_edges', 5, 0.01, 'SELECT node, CASE WHEN node % 10 = 0 THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 8) AS x FROM x5")
 def query_katz(c):
+    """The first five rounds, as its SQL has them."""
     q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
     return g.katz(c.part_edges, 0.01, preference=q, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
 
 
+@graphs("C17_query_katz_converged")
+def query_katz_converged(c):
+    q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
+    return g.katz(c.part_edges, 0.01, preference=q).select("node", F.round("x", 8).alias("x"))
+
+
 def _power_sql(e: str, rounds: int, share: str, norm: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"od AS (SELECT src, count(*) AS k FROM {e} GROUP BY src)", "x0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS x FROM nd)"]
     for r in range(1, rounds + 1):
@@ -222,14 +254,26 @@ def _power_sql(e: str, rounds: int, share: str, norm: str) -> str:
 
 @graphs("C5_eigenvector", f"WITH {_power_sql('part_edges', 5, 'x', 'sqrt(sum(x * x))')} SELECT node, round(x, 8) AS x FROM x5")
 def eigen5(c):
+    """The first five rounds, as its SQL has them."""
     return g.eigenvector(c.part_edges, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
 
 
+@graphs("C5_eigenvector_converged")
+def eigen_converged(c):
+    return g.eigenvector(c.part_edges).select("node", F.round("x", 8).alias("x"))
+
+
 @graphs("C6_seeley", f"WITH {_power_sql('part_edges', 5, 'x / k', 'sum(abs(x))')} SELECT node, round(x, 10) AS x FROM x5")
 def seeley5(c):
+    """The first five rounds, as its SQL has them."""
     return g.eigenvector(c.part_edges, markovian=True, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
 
 
+@graphs("C6_seeley_converged")
+def seeley_converged(c):
+    return g.eigenvector(c.part_edges, markovian=True).select("node", F.round("x", 10).alias("x"))
+
+
 def _hits_sql(e: str, rounds: int) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", "x0 AS (SELECT node, 1.0::DOUBLE AS x FROM nd)"]
     for r in range(1, rounds + 1):
@@ -241,9 +285,15 @@ def _hits_sql(e: str, rounds: int) -> str:
 
 @graphs("C9_hits", f"WITH {_hits_sql('part_edges', 4)} SELECT node, round(x, 8) AS x FROM x4")
 def hits4(c):
+    """The first four rounds, as its SQL has them."""
     return g.hits(c.part_edges, rounds=4, tolerance=0).select("node", F.round("x", 8).alias("x"))
 
 
+@graphs("C9_hits_converged")
+def hits_converged(c):
+    return g.hits(c.part_edges).select("node", F.round("x", 8).alias("x"))
+
+
 @graphs("C10_salsa", "SELECT node, round(coalesce(k, 0) / (SELECT count(*) FROM supplier_edges)::DOUBLE, 9) AS x FROM (SELECT src AS node FROM supplier_edges UNION SELECT dst FROM supplier_edges) LEFT JOIN (SELECT dst, count(*) AS k FROM supplier_edges GROUP BY dst) ON dst = node")
 def salsa_scores(c):
     """The dense graph has one component of co-citation, where the closed form is the share of arcs."""
