@@ -15,6 +15,7 @@ from pkgloom.operators.nested import flatten
 from pkgloom.operators.upsert import get_or_create
 from pkgloom.plans.reads import affected_versions
 from pkgloom.plans.registry import Registry
+from pkgloom.plans.scalars import source_counts_of
 from pkgloom.session import Scratch
 
 pipelines = Registry()
@@ -73,10 +74,27 @@ def sorted_purls(c):
 
 @pipelines("N12_repository_statistics", "SELECT source, count(*) AS n_files, CAST(sum(len(regexp_extract_all(text, 'int [a-z]\\w*\\('))) AS BIGINT) AS n_methods FROM documents WHERE text LIKE '%public final class%' GROUP BY source")
 def repository_statistics(c):
+    """Files and int methods of public final classes, as its SQL; N12_module_statistics has all."""
     d = c.documents.where(F.col("text").contains("public final class"))
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.regexp_count("text", F.lit(r"int [a-z]\w*\("))).alias("n_methods"))
 
 
+@pipelines("N12_module_statistics")
+def module_statistics(c):
+    """Counts and ratios of each source over all of its documents.
+
+    Documents have no layout of folders: a Java text with unit tests is a test file, any other a source file, whose
+    functions are counted. A ratio of nothing is null.
+    """
+    d = source_counts_of(c.documents).withColumn("source_file", F.col("is_code") & (F.col("n_tests") == 0))
+    per = d.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if("source_file").alias("n_files"), F.count_if(F.col("n_tests") > 0).alias("n_test_files"), F.sum(F.when(F.col("source_file"), F.col("n_functions")).otherwise(0)).alias("n_functions"),
+        F.sum("n_tests").alias("n_tests"), F.count_if("mock_import").alias("n_mock_files"), F.sum("n_tests_with_mock").alias("n_tests_with_mock"),
+    )
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 3)
+    return per.withColumns({"tests_to_files": ratio("n_test_files", "n_files"), "tests_to_functions": ratio("n_tests", "n_functions"), "mocking": ratio("n_tests_with_mock", "n_tests")})
+
+
 @pipelines("N15_echo", "SELECT id, package_name FROM packages")
 def echo(c):
     return c.packages.select("id", "package_name")

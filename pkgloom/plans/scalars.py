@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pkgloom.functions import json_ops, uri
+from pkgloom.operators import source_text as src
 from pkgloom.plans.registry import Registry, micros
 
 scalars = Registry()
@@ -122,14 +124,31 @@ def file_names(c):
     return c.packages.select("package_name", uri.file_name("package_name").alias("safe"), F.concat(F.left("package_name", F.lit(1)), F.lit("/"), "package_name").alias("shard"))
 
 
+def source_counts_of(documents: DataFrame) -> DataFrame:
+    """``documents`` with the counts of F21."""
+    code = documents.withColumn("_code", src.stripped(F.col("text"))).withColumn("is_code", src.declares_type(F.col("_code")))
+    java = F.when(F.col("is_code"), F.col("_code"))
+    code = code.withColumn("_tests", src.unit_tests(java)).withColumn("mock_import", (F.size("_tests") > 0) & src.imports_mock(F.col("text")))
+    return code.select(
+        *documents.columns, F.coalesce(F.length("_code"), F.lit(0)).cast("long").alias("n_stripped"), "is_code", F.coalesce(src.function_count(java), F.lit(0).cast("long")).alias("n_functions"), F.size("_tests").cast("long").alias("n_tests"), "mock_import",
+        F.when(F.col("mock_import"), F.size(src.with_mock(F.col("_tests")))).otherwise(0).cast("long").alias("n_tests_with_mock"),
+    )
+
+
 @scalars("F21_source_counts", "SELECT doc_id, length(regexp_replace(text, '//[^\\n]*', '', 'g')) AS n_stripped, len(regexp_extract_all(text, 'int [a-z]\\w*\\(')) AS n_methods FROM documents WHERE text LIKE '%public final class%'")
 def source_counts(c):
-    """Source text without its line comments, and the methods declared in it."""
+    """Source text without its line comments, and the int methods of it: as its SQL, a public final class only. F21_source_statistics has all."""
     t = F.col("text")
     d = c.documents.where(t.contains("public final class"))
     return d.select("doc_id", F.length(F.regexp_replace(t, r"//[^\n]*", "")).cast("long").alias("n_stripped"), F.regexp_count(t, F.lit(r"int [a-z]\w*\(")).cast("long").alias("n_methods"))
 
 
+@scalars("F21_source_statistics")
+def source_statistics(c):
+    """Every document: its length without comments and, where it declares a Java type, its functions, unit tests and tests with mocks; 0 elsewhere."""
+    return source_counts_of(c.documents).select("doc_id", "n_stripped", "is_code", "n_functions", "n_tests", "mock_import", "n_tests_with_mock")
+
+
 @scalars("F22_license_keys", "SELECT lower(p_type) || '|' || p_brand AS key, count(*) AS n FROM part GROUP BY 1")
 def license_keys(c):
     return c.part.groupBy(F.concat_ws("|", F.lower("p_type"), "p_brand").alias("key")).agg(F.count(F.lit(1)).alias("n"))

@@ -71,3 +71,34 @@ def test_spectral_fixpoints(spark, data, matrix, name):
     got = {r["node"]: r["x"] for r in run(spark, data, name).collect()}
     assert sorted(got) == nodes.tolist()
     assert np.allclose([got[n] for n in nodes], SPECTRAL[name](nodes, m), rtol=0, atol=3e-7)
+
+
+# ---- source text
+
+PLAIN = "A note on  the list (short) and its class loader.\n"
+SOURCE = """/* class Old { int  gone(int a) {} } */
+class Store<T> extends Base {
+    // int  hidden() {}
+    public String name() { return "x"; }
+    private static List<String> all(int a, int b) { return null; }
+    boolean is(int a) { return a > 0; }
+}
+"""
+TESTS = """import org.mockito.Mockito;
+public class StoreTest {
+    @Test(timeout = 5)
+    public void one() { if (a) { b.when(c); } }
+    /* @Test public void gone() {} */
+    @Test public void two() { d(); }
+    void helper() { e.mock(f); }
+}
+"""
+
+
+def test_source_statistics(spark, tmp_path):
+    rows = [("plain", PLAIN, "a"), ("source", SOURCE, "a"), ("tests", TESTS, "a"), ("none", None, "b")]
+    spark.createDataFrame(rows, "doc_id string, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[2:] for r in run(spark, tmp_path, "F21_source_statistics").collect()}
+    assert got == {"plain": (False, 0, 0, False, 0), "source": (True, 3, 0, False, 0), "tests": (True, 3, 2, True, 1), "none": (False, 0, 0, False, 0)}
+    per = {r["source"]: tuple(r)[1:] for r in run(spark, tmp_path, "N12_module_statistics").collect()}
+    assert per == {"a": (3, 1, 1, 3, 2, 1, 1, 1.0, 0.667, 0.5), "b": (1, 0, 0, 0, 0, 0, 0, None, None, None)}
