@@ -126,6 +126,27 @@ def search_within(edges: DataFrame, homes: DataFrame, revisions: DataFrame, seed
     return search(cut(kept), seeds, forward, **options)
 
 
+def search_dependents(edges: DataFrame, homes: DataFrame, resolved: DataFrame, root: DataFrame, **options) -> DataFrame:
+    """``search`` backward from the nodes of the root revision in the graph of each of its dependents.
+
+    homes: (node, revision). resolved: (dependent, revision), each dependent's own revision and all that it resolves to,
+    for the root too. root: (revision), one row. A dependent that doesn't resolve to the root is left out. A node found
+    in several graphs is shown as in that of the smallest dependent.
+    """
+    scratch = Scratch(edges.sparkSession)
+    true = resolved.join(F.broadcast(root.select("revision")), "revision", "left_semi").select("dependent").distinct()
+    inside, _ = scratch.write(resolved.join(true, "dependent", "left_semi").join(homes, "revision").select("dependent", "node").distinct())
+    kept = edges.join(inside.withColumnRenamed("node", "src"), "src").join(inside.withColumnRenamed("node", "dst"), ["dependent", "dst"], "left_semi")
+    at = lambda end: F.struct("dependent", F.col(end).alias("node")).alias(end)
+    kept, _ = scratch.write(kept.select(at("src"), at("dst")))
+    own = homes.join(F.broadcast(root.select("revision")), "revision", "left_semi").select("node").distinct()
+    seeds = inside.join(own, "node", "left_semi").select(F.struct("dependent", "node").alias("node"))
+    found = search(kept, seeds, False, **options)
+    row = F.struct("dist", "indegree", "outdegree", "score")
+    first = found.groupBy("node.node").agg(F.min_by(row, "node.dependent").alias("r"))
+    return first.select("node", "r.*").orderBy(F.desc("score"), "node")
+
+
 def reach_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, reached): how many nodes each node reaches, itself included."""
     all_nodes = nodes_of(edges).select(F.col("node").alias("source"), "node")

@@ -111,12 +111,26 @@ def dependency_json(c):
 
 @deps("D12_invalidated_files", f"WITH {_SETS} SELECT DISTINCT left(p.package_name, 1) || '/' || split_part(p.package_name, ':', 1) || '/' || split_part(p.package_name, ':', 2) || '/' || pv.version || '.json' AS path FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r JOIN pv ON pv.id = s.source JOIN packages p ON p.id = pv.package_id WHERE m.target IN ({_ROOT})")
 def invalidated_files(c):
-    """Cache files of the dependents of a changed version."""
+    """Cache files of the direct dependents of a changed version, as its SQL; D12_all_invalidated_files has all."""
     uses, sets = constraint_sets(c.dependencies)
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    hit = dependents(uses, sets, v, roots, None, transitive=False)
+    return _cache_files(c, dependents(uses, sets, v, roots, None, transitive=False))
+
+
+@deps("D12_all_invalidated_files")
+def all_invalidated_files(c):
+    """Cache files of a changed version and of its dependents, direct or not."""
+    uses, sets = constraint_sets(c.dependencies)
+    v = c.package_versions
+    first = v.agg(F.min("package_id").alias("package_id"))
+    roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
+    return _cache_files(c, dependents(uses, sets, v, roots).select("node").unionByName(roots))
+
+
+def _cache_files(c, hit):
+    v = c.package_versions
     p = c.packages.select(F.col("id").alias("package_id"), "package_name")
     j = hit.join(v.select(F.col("id").alias("node"), "package_id", "version"), "node").join(p, "package_id")
     group, artifact = F.split_part("package_name", F.lit(":"), F.lit(1)), F.split_part("package_name", F.lit(":"), F.lit(2))
@@ -161,15 +175,15 @@ def search_from_revision(c):
 
 @deps("G3_search_of_dependents")
 def search_of_dependents(c):
-    """Which nodes of a version's dependents reach the nodes of the version."""
+    """Which nodes of a version's dependents, direct or not, reach the nodes of the version, in the graph of each dependent with what it resolves to."""
     uses, sets = constraint_sets(c.dependencies)
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     root = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    up = dependents(uses, sets, v, root, None, transitive=False).select(F.col("node").alias("revision"), F.lit(False).alias("root"))
-    revisions = up.unionByName(root.select(F.col("node").alias("revision"), F.lit(True).alias("root")))
+    starts = dependents(uses, sets, v, root).select("node").unionByName(root).distinct()
+    resolved = resolve(uses, sets, v, starts.withColumn("dependent", F.col("node")), keys=("dependent",)).select("dependent", F.col("node").alias("revision"))
     homes = c.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("revision")).distinct()
-    return g.search_within(c.part_edges, homes, revisions, forward=False)
+    return g.search_dependents(c.part_edges, homes, resolved, root.select(F.col("node").alias("revision")))
 
 
 @deps("D13_maven_purls", "SELECT DISTINCT x.package_name || ':' || x.package_version AS coordinate FROM vpurls x WHERE purl LIKE 'pkg:maven/%'")

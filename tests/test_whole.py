@@ -102,3 +102,30 @@ def test_source_statistics(spark, tmp_path):
     assert got == {"plain": (False, 0, 0, False, 0), "source": (True, 3, 0, False, 0), "tests": (True, 3, 2, True, 1), "none": (False, 0, 0, False, 0)}
     per = {r["source"]: tuple(r)[1:] for r in run(spark, tmp_path, "N12_module_statistics").collect()}
     assert per == {"a": (3, 1, 1, 3, 2, 1, 1, 1.0, 0.667, 0.5), "b": (1, 0, 0, 0, 0, 0, 0, None, None, None)}
+
+
+# ---- dependents
+
+
+@pytest.fixture
+def chain(spark, tmp_path):
+    """Version 1 is needed by 2, 2 by 3; 4 allows 1 but resolves to 5, the higher version of the same package."""
+    v = [(1, 10, "1.0"), (2, 20, "1.0"), (3, 30, "1.0"), (4, 40, "1.0"), (5, 10, "2.0")]
+    d = [(2, 10, ["1.0"]), (3, 20, ["[1.0,)"]), (4, 10, ["[1.0,)"])]
+    lines = [(1, 1, 100), (1, 2, 101), (2, 1, 200), (2, 2, 100), (3, 1, 300), (3, 2, 200), (4, 1, 400), (4, 2, 100), (5, 1, 500)]
+    spark.createDataFrame(v, "id long, package_id long, version string").write.parquet(str(tmp_path / "package_versions.parquet"))
+    spark.createDataFrame(d, "package_version_id long, dependency_id long, version_range array<string>").write.parquet(str(tmp_path / "dependencies.parquet"))
+    spark.createDataFrame([(i, f"g{i}:a") for i in (10, 20, 30, 40)], "id long, package_name string").write.parquet(str(tmp_path / "packages.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    return tmp_path
+
+
+def test_search_of_all_dependents(spark, chain):
+    got = {r["node"]: (r["dist"], r["indegree"], r["outdegree"]) for r in run(spark, chain, "G3_search_of_dependents").collect()}
+    # 300 is two hops above the root; 400 is of a version that resolves to another one; 200 has no caller in the graph of 2
+    assert got == {200: (1, 0, 1), 300: (2, 0, 1)}
+
+
+def test_all_invalidated_files(spark, chain):
+    got = {r["path"] for r in run(spark, chain, "D12_all_invalidated_files").collect()}
+    assert got == {"g/g10/a/1.0.json", "g/g20/a/1.0.json", "g/g30/a/1.0.json", "g/g40/a/1.0.json"}
