@@ -123,19 +123,32 @@ ge AS (SELECT DISTINCT a.rev, a.gid AS src, b.gid AS dst FROM le a JOIN le b ON
 
 @pipelines("G7_cross_revision_reach", f"WITH {_CROSS}, s1 AS (SELECT DISTINCT ge.dst AS gid FROM ap JOIN ge ON ge.rev = ap.rev AND ge.src = ap.gid WHERE ap.gid = 1), s2 AS (SELECT DISTINCT ge.dst AS gid FROM s1 JOIN ap ON ap.gid = s1.gid JOIN ge ON ge.rev = ap.rev AND ge.src = ap.gid) SELECT gid, 1 AS dist FROM s1 WHERE gid <> 1 UNION ALL SELECT gid, 2 FROM s2 WHERE gid <> 1 AND gid NOT IN (SELECT gid FROM s1)")
 def cross_revision_reach(c):
-    """Two steps from an id: at each, a call goes on in every revision that defines what it calls."""
+    """The first two steps, as its SQL; G7_cross_revision_reach_all has all."""
+    return _reach_across(c, max_depth=2)
+
+
+@pipelines("G7_cross_revision_reach_all")
+def cross_revision_reach_all(c):
+    return _reach_across(c)
+
+
+def _reach_across(c, forward: bool = True, max_depth: int | None = None) -> DataFrame:
+    """(gid, dist) from id 1: at each step a call goes on in every revision that defines what it calls."""
     edges, appears = _gid_edges(c)
     across = appears.join(edges.withColumnRenamed("src", "gid"), ["gid", "rev"]).select(F.col("gid").alias("src"), "dst").distinct()
     seed = c.spark.createDataFrame([(1,)], "node long")
-    return g.bfs(across, seed, 2).where("dist > 0").select(F.col("node").alias("gid"), "dist")
+    return g.bfs(across if forward else g.transpose(across), seed, max_depth).where("dist > 0").select(F.col("node").alias("gid"), "dist")
 
 
 @pipelines("G8_cross_revision_coreach", f"WITH {_CROSS}, t AS (SELECT DISTINCT ge.src, ge.dst FROM ap JOIN ge ON ge.rev = ap.rev AND ge.src = ap.gid) SELECT DISTINCT src AS gid, 1 AS dist FROM t WHERE dst = 1 AND src <> 1")
 def cross_revision_coreach(c):
-    edges, appears = _gid_edges(c)
-    across = appears.join(edges.withColumnRenamed("src", "gid"), ["gid", "rev"]).select(F.col("gid").alias("src"), "dst").distinct()
-    seed = c.spark.createDataFrame([(1,)], "node long")
-    return g.bfs(g.transpose(across), seed, 1).where("dist > 0").select(F.col("node").alias("gid"), "dist")
+    """The direct callers, as its SQL; G8_cross_revision_coreach_all has all."""
+    return _reach_across(c, False, 1)
+
+
+@pipelines("G8_cross_revision_coreach_all")
+def cross_revision_coreach_all(c):
+    return _reach_across(c, False)
 
 
 def ball_sketches(edges: DataFrame, rounds: int, log2m: int = 12) -> DataFrame:
@@ -194,7 +207,7 @@ def few_chains(c):
 
 @pipelines("A11_reach_summary", "WITH sg AS (SELECT * FROM supplier_edges), r1 AS (SELECT src AS s, src AS t FROM sg UNION SELECT dst, dst FROM sg UNION SELECT src, dst FROM sg), r2 AS (SELECT s, t FROM r1 UNION SELECT r1.s, sg.dst FROM r1 JOIN sg ON sg.src = r1.t) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT s, count(*) AS n FROM r2 GROUP BY s)")
 def reach_summary(c):
-    return g.reach_counts(c.supplier_edges, 2).agg(F.min("reached").alias("least"), F.max("reached").alias("most"), F.round(F.avg("reached"), 6).alias("mean"))
+    return g.reach_counts(c.supplier_edges).agg(F.min("reached").alias("least"), F.max("reached").alias("most"), F.round(F.avg("reached"), 6).alias("mean"))
 
 
 @pipelines("G0i_search_order", "WITH d0 AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d), d1 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT e.dst, 1 FROM d0 JOIN part_edges e ON e.src = node) GROUP BY node), d2 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT e.dst, 2 FROM d1 JOIN part_edges e ON e.src = node WHERE d = 1) GROUP BY node) SELECT node, row_number() OVER (ORDER BY d, node) - 1 AS number FROM d2")

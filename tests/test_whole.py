@@ -129,3 +129,46 @@ def test_search_of_all_dependents(spark, chain):
 def test_all_invalidated_files(spark, chain):
     got = {r["path"] for r in run(spark, chain, "D12_all_invalidated_files").collect()}
     assert got == {"g/g10/a/1.0.json", "g/g20/a/1.0.json", "g/g30/a/1.0.json", "g/g40/a/1.0.json"}
+
+
+# ---- reach
+
+
+def steps(pairs, start):
+    """{node: steps from start}, start left out."""
+    dist, todo = {start: 0}, [start]
+    for a in todo:
+        for p, q in pairs:
+            if p == a and q not in dist:
+                dist[q] = dist[a] + 1
+                todo.append(q)
+    return {n: d for n, d in dist.items() if d}
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    """Calls 1 > 2 > 3 > 4 > 5 > 1, each in an order of its own, and 6 > 1; the suppliers likewise."""
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1), (6, 1)]
+    rows = [(o, n + 1, x, x, "N") for o, pair in enumerate(pairs, 1) for n, x in enumerate(pair)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    return tmp_path, pairs
+
+
+def test_reach_has_no_bound(spark, lines):
+    folder, pairs = lines
+    got = {r["node"]: r["reached"] for r in run(spark, folder, "G11_reach_counts").collect()}
+    assert got == {n: len({n, *steps(pairs, n)}) for n in range(1, 7)}
+    assert tuple(run(spark, folder, "A11_reach_summary").first()) == (5, 6, round(31 / 6, 6))
+
+
+def test_reach_across_revisions_has_no_bound(spark, data):
+    from pkgloom.plans.pipelines import _gid_edges
+    from pkgloom.sources.catalog import Catalog
+
+    edges, appears = _gid_edges(Catalog(spark, data))
+    inside = {(r["gid"], r["rev"]) for r in appears.collect()}
+    pairs = {(r["src"], r["dst"]) for r in edges.collect() if (r["src"], r["rev"]) in inside}
+    for name, arcs in (("G7_cross_revision_reach_all", pairs), ("G8_cross_revision_coreach_all", {(b, a) for a, b in pairs})):
+        expected = steps(arcs, 1)
+        assert max(expected.values()) > 2
+        assert {r["gid"]: r["dist"] for r in run(spark, data, name).collect()} == expected
