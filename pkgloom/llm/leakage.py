@@ -31,6 +31,7 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?([a-zA-Z][\w:-]*)(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*\s*/?>|<!--.*?-->", re.DOTALL)
 _LINK = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]|(?=\p{Cc})[^\s]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _ITEM_MARK = re.compile(r"(?m)^[\s>|*#/+-]*(?:\(?\d{1,4}\s?[.):|]|\(?[a-zA-Z][.)])(?=\s)")
 # Elements that end a word; all others may stand inside one.
 _BREAKING = frozenset("address article aside blockquote body br caption center dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html img li main nav ol option p pre script section select style table tbody td textarea tfoot th thead title tr ul".split())
@@ -53,7 +54,7 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold()
         return unicodedata.normalize("NFKC", text)
-    return text.lower()
+    return _CONTROL.sub("", text).lower()
 
 
 def word_lists(text: str | None) -> list[list[str]]:
