@@ -363,7 +363,7 @@ def label_propagation(edges: DataFrame, gamma: float = 0.0, rounds: int = 100, g
     """
     scratch = Scratch(edges.sparkSession)
     links, _ = scratch.write(symmetrize(edges).where("src <> dst"))
-    labels, _ = scratch.write(nodes_of(links).withColumn("label", F.col("node")))
+    labels, at = scratch.write(nodes_of(links).withColumn("label", F.col("node")))
     n = labels.count()
     quiet = 0
     for r in range(rounds):
@@ -372,9 +372,10 @@ def label_propagation(edges: DataFrame, gamma: float = 0.0, rounds: int = 100, g
         scored = freq.join(volume, "label").withColumn("v", F.col("f") - gamma * (F.col("vol") + 1 - F.col("f")))
         best = scored.groupBy("to").agg(F.max(F.struct("v", F.xxhash64("label", "to", F.lit(seed)).alias("h"), "label")).alias("b")).select(F.col("to").alias("node"), F.col("b.label").alias("new"))
         may = F.pmod(F.xxhash64("node", F.lit(seed + r)), F.lit(2)) == 0
-        after, _ = scratch.write(labels.join(best, "node", "left").select("node", F.col("label").alias("was"), F.when(may & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")).alias("label")))
+        after, at_after = scratch.write(labels.join(best, "node", "left").select("node", F.col("label").alias("was"), F.when(may & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")).alias("label")))
         moved = after.where("was <> label").count()
-        labels = after.select("node", "label")
+        scratch.drop(at)
+        labels, at = after.select("node", "label"), at_after
         quiet = quiet + 1 if moved <= gain * n else 0
         if quiet == 2:
             break
@@ -387,3 +388,35 @@ def log_gap_cost(edges: DataFrame, order: DataFrame) -> DataFrame:
     w = Window.partitionBy("s").orderBy("t")
     gaps = edges.join(a, "src").join(b, "dst").select("s", "t").withColumn("gap", F.abs(F.col("t") - F.coalesce(F.lag("t").over(w), F.col("s"))))
     return gaps.agg(F.coalesce(F.sum(F.ceil(F.log2(F.greatest(F.col("gap"), F.lit(1))))), F.lit(0)).cast("long").alias("cost"))
+
+
+GAMMAS = (*(2.0**-k for k in range(11)), 0.0)
+
+
+def _combined(labels: DataFrame, major: DataFrame) -> DataFrame:
+    """(node, label): the nodes that share both labels, numbered in the order of the label of the major label's node, then the major label, then the label."""
+    both = labels.join(major.select("node", F.col("label").alias("major")), "node").join(labels.select(F.col("node").alias("major"), F.col("label").alias("first")), "major")
+    key = F.struct("first", "major", "label").alias("node")
+    numbers = renumber(both.select(key)).select(F.col("node").alias("k"), "number")
+    return both.select("node", key.alias("k")).join(numbers, "k").select("node", F.col("number").alias("label"))
+
+
+def layered_order(edges: DataFrame, gammas: tuple[float, ...] = GAMMAS, **options) -> DataFrame:
+    """(node, number): label propagation at each gamma, combined in the order of their gap costs, the least last and again after each."""
+    scratch = Scratch(edges.sparkSession)
+    edges, _ = scratch.write(edges.select("src", "dst").distinct())
+    order = lambda labels: renumber(labels.select(F.struct("label", "node").alias("node"))).select("node.node", "number")
+    layers = []
+    for k, gamma in enumerate(gammas):
+        labels, _ = scratch.write(label_propagation(edges, gamma, **options))
+        layers.append((-log_gap_cost(edges, order(labels)).first()[0], k, labels))
+    layers = [x[2] for x in sorted(layers, key=lambda x: x[:2])]
+    best = layers[-1]
+    labels, at = best, None
+    for layer in layers:
+        for major in (layer, best):
+            after, at_after = scratch.write(_combined(labels, major))
+            if at:
+                scratch.drop(at)
+            labels, at = after, at_after
+    return order(labels)

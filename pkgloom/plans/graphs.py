@@ -334,7 +334,7 @@ def component_sizes(c):
 
 @graphs("L1_label_propagation")
 def labels(c):
-    return g.label_propagation(c.part_edges, rounds=6).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return g.label_propagation(c.part_edges).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
 @graphs(

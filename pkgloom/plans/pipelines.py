@@ -178,13 +178,8 @@ def approximate_balls(c):
 
 @pipelines("L2_layered_labels")
 def layered_labels(c):
-    """Orders from label propagation at several resolutions, combined: nodes that share all labels stand together."""
-    labels = None
-    for k, gamma in enumerate((0.0, 1 / 16, 1 / 2)):
-        one = g.label_propagation(c.supplier_edges, gamma, rounds=4).withColumnRenamed("label", f"l{k}")
-        labels = one if labels is None else labels.join(one, "node")
-    order = g.renumber(labels.select(F.struct("l0", "l1", "l2", "node").alias("node"))).select("node.node", "number")
-    return g.log_gap_cost(c.supplier_edges, order)
+    """Gap cost of the order from label propagation at all twelve resolutions, combined by their own gap costs."""
+    return g.log_gap_cost(c.supplier_edges, g.layered_order(c.supplier_edges))
 
 
 _FORGE = ", ".join(f"CASE WHEN json_exists(message, '$.{'input.' * k}payload.forge') THEN json_extract_string(message, '$.{'input.' * k}payload.artifactId') END" for k in range(8))

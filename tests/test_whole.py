@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -172,3 +173,34 @@ def test_reach_across_revisions_has_no_bound(spark, data):
         expected = steps(arcs, 1)
         assert max(expected.values()) > 2
         assert {r["gid"]: r["dist"] for r in run(spark, data, name).collect()} == expected
+
+
+# ---- labels
+
+
+def test_layered_order_keeps_clusters_together(spark, monkeypatch):
+    """Three blocks of nodes whose ids are interleaved."""
+    from pkgloom.operators import graph as g
+
+    asked, costs = [], []
+    real, real_cost = g.label_propagation, g.log_gap_cost
+    monkeypatch.setattr(g, "label_propagation", lambda e, gamma, **o: (asked.append(gamma), real(e, gamma, **o))[1])
+    monkeypatch.setattr(g, "log_gap_cost", lambda e, o: (costs.append(1), real_cost(e, o))[1])
+    pairs = [p for b in range(3) for p in itertools.permutations(range(b, 18, 3), 2)] + [(0, 1), (1, 2)]
+    order = {r["node"]: r["number"] for r in g.layered_order(spark.createDataFrame(pairs, "src long, dst long"), (0.5, 0.25, 0.0)).collect()}
+    assert asked == [0.5, 0.25, 0.0] and len(costs) == 3
+    assert sorted(order.values()) == list(range(18))
+    for b in range(3):
+        at = [order[n] for n in range(b, 18, 3)]
+        assert max(at) - min(at) == 5
+    assert g.GAMMAS == tuple(1 / 2**k for k in range(11)) + (0.0,)
+
+
+def test_labels_run_to_the_default_end(spark, data, monkeypatch):
+    from pkgloom.operators import graph as g
+
+    asked = []
+    real = g.label_propagation
+    monkeypatch.setattr(g, "label_propagation", lambda e, *a, **o: (asked.append((a, o)), real(e, *a, **o))[1])
+    assert run(spark, data, "L1_label_propagation").count() > 0
+    assert asked == [((), {})]
