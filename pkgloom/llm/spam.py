@@ -1,27 +1,30 @@
 """Keyword-stuffed pages, link collections and tag lists, by bagged decision trees smoothed over hosts.
 
-A page is cut into blocks at blank lines. Content and link features of blocks, with weak labels from simple rules
-that vote, train a bag of decision trees on a bounded sample; the trees then judge every block of every page, also
-those on which the rules are silent or disagree. A page's score is the share of its words in blocks judged to be
-spam; the log-odds of the score are shifted by those of its host's spam rate against the rate of all pages, which
-decides pages near one half. Texts never shuffle: one small row per page goes on to the host rates.
+A page is cut into blocks at blank lines. Each block has content and link features: shares, repetitions, shapes and
+how far it packs; no feature looks a word up in a list. A few strict rules, one for each kind of spam and a few for
+plain cases of the rest, label a part of the blocks and are silent on the others; a bag of decision trees is trained
+on the labelled blocks of a bounded sample and alone judges every block of every page. A page's score is the mean
+of the trees' shares over its words; its log-odds are shifted by those of its host's spam rate against the rate of all
+pages, which decides pages near one half. Texts never shuffle: one small row per page goes on to the host rates, and
+only pages that a host could move are joined with them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgloom.session import cut
 
-SAMPLE_PAGES = 20_000  # pages whose blocks may train the trees
+SAMPLE_PAGES = 8_000  # pages whose blocks may train the trees
 TREES = 40
 DEPTH = 10
 LEAST_LEAF = 3
@@ -30,7 +33,8 @@ BINS = 32
 SEED = 20_240_601
 HOST_WEIGHT = 0.25
 HOST_PRIOR = 20.0
-HOST_BROADCAST_ROWS = 200_000
+ODDS_BOUND = 0.01  # shares are kept between this and one less this before their log-odds are taken
+SALTS = 16
 
 _WORD = re.compile(r"[^\W_]+")
 _BLOCK = re.compile(r"(?:\r\n|\r|\n)[^\S\n]*(?:\r?\n)+")
@@ -40,21 +44,11 @@ _INLINE = re.compile(r"</?(?:b|i|u|em|strong|code|span|tt|mark|small)>", re.I)
 _TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
 _SENTENCE = re.compile(r"[.?;:。？；]+(?=\s|$|[”’\"')])|[。？；]")
 _VERSION = re.compile(r"\d+\.\d+\.\d+")
+_DOTTED = re.compile(r"[^\W\d_]\.[^\W\d_]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_TECHNICAL = re.compile(
-    r"^\s*(?:at\s+[\w.$<>]+\(|[-*+]\s+[\w.]+:[\w.-]+:\S+|\[(?:INFO|WARN(?:ING)?|ERROR|DEBUG)\]|[\w.$]+\.\w+\([^)]*\)\s*[:{]|//|/\*|\*\s|[})\]{]+;?\s*$|(?:public|private|protected|static|final|class|int|void|def|import|package|return)\b.*[;{(]|\d+\.\d+(?:\.\d+)*\s*\(\d{4}-|\w*(?:\.\w+)+(?:Exception|Error)\b|\[\d+\]\s+\S+\s\S+\s\S+\s\S+|[-*]\s+\[[^\]]+\]\()",
-)
-# Words of offers, in several languages.
-OFFER_WORDS = frozenset(
-    "cheap buy crack cracked serial keygen download free trial license key coupon promo discount code hosting proxy price premium best fast full version offer sale deal "
-    "gratis barato barata descargar descarga cupón oferta licencia comprar precio descuento "
-    "kostenlos rabatt gutschein vollversion günstig kaufen schlüssel angebot preis herunterladen "
-    "gratuit gratuite télécharger clé licence acheter prix promotion réduction offre "
-    "免费 下载 破解 激活码 优惠 折扣 无料 無料 ダウンロード 割引 クーポン 購入".split()
-)
 FEATURES = (
-    "words", "distinct", "top3", "top1", "bigram_repeats", "urls", "hosts", "url_words", "tags", "caps", "bangs", "sentences", "function_words", "cjk",
-    "digits", "code", "line_words", "same_start", "title", "separators", "url_lines", "mixed", "versions", "offers", "technical",
+    "words", "distinct", "top3", "top1", "bigram_repeats", "urls", "hosts", "url_words", "tags", "caps", "bangs", "sentences", "short_words", "cjk",
+    "digits", "code", "line_words", "same_start", "title", "separators", "url_lines", "mixed", "versions", "marked_lines", "code_ends", "dotted", "packed",
 )
 
 
@@ -93,6 +87,7 @@ def block_features(block: str) -> list[float] | None:
     starts = Counter([x[:4].translate(_classes) for x in lines])
     letters = sum(map(len, words))
     caps, title, digits = sum(map(str.isupper, words)), sum(map(str.istitle, words)), sum(map(str.isdigit, words))
+    raw = block.encode("utf-8", "surrogatepass")
     return [
         math.log1p(n),
         len(counts) / n,
@@ -117,35 +112,37 @@ def block_features(block: str) -> list[float] | None:
         sum([("://" in x or "www." in x) for x in lines]) / len(lines) if urls else 0.0,
         (n - caps - title - digits - sum(map(str.islower, words))) / n,
         len(_VERSION.findall(block)) / n,
-        sum([counts[w] for w in counts.keys() & OFFER_WORDS]) / n,
-        sum([_TECHNICAL.match(x) is not None for x in lines]) / len(lines),
+        sum([not x[0].isalnum() for x in lines]) / len(lines),
+        sum([x.rstrip()[-1] in "{};)," for x in lines]) / len(lines),
+        len(_DOTTED.findall(block)) / n,
+        len(zlib.compress(raw, 1)) / len(raw),
     ]
 
 
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 spam, 0 no spam, -1 unknown, for rows of FEATURES, by majority of simple rules."""
+    """1 spam, 0 no spam, -1 unknown, for rows of FEATURES: strict rules, which are silent on most kinds of blocks.
+
+    Blocks on which rules of both sides speak are unknown.
+    """
     f = {k: x[:, i] for i, k in enumerate(FEATURES)}
     n = np.expm1(f["words"])
     spam = [
-        (f["tags"] >= 0.6) & (n >= 5),
-        (f["offers"] >= 0.2) & (n >= 15) & (f["sentences"] < 0.08),
-        (f["top3"] >= 0.4) & (n >= 30) & (f["technical"] < 0.3),
-        (f["bigram_repeats"] >= 0.5) & (n >= 30) & (f["technical"] < 0.3) & ((f["sentences"] < 0.03) | (f["top3"] >= 0.4)),
-        (f["url_words"] >= 0.35) & (f["hosts"] >= 0.8) & (f["urls"] * n >= 5) & (f["technical"] < 0.3),
-        (f["bangs"] >= 0.05) & (f["caps"] >= 0.15) & (n >= 10),
-        (f["separators"] >= 0.15) & (f["sentences"] < 0.02) & (f["line_words"] >= 20) & (f["technical"] < 0.3) & (n >= 40),
-        (f["separators"] >= 0.15) & (f["title"] >= 0.3) & (f["distinct"] < 0.4) & (f["technical"] < 0.3) & (n >= 20),
+        (f["tags"] >= 0.8) & (n >= 5),
+        (f["top3"] >= 0.5) & (f["distinct"] < 0.15) & (n >= 60) & (f["digits"] < 0.05),
+        (f["url_lines"] >= 0.9) & (f["url_words"] >= 0.4) & (f["hosts"] >= 0.9) & (f["urls"] * n >= 8),
+        (f["separators"] >= 0.15) & (f["sentences"] < 0.03) & (f["line_words"] >= 20) & (f["digits"] < 0.02),
+        (f["bangs"] >= 0.1) & (f["caps"] >= 0.3) & (n >= 40),
     ]
     fair = [
-        (f["function_words"] >= 0.25) & (f["distinct"] >= 0.45) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["sentences"] > 0.02),
-        f["technical"] >= 0.5,
-        (f["cjk"] >= 0.25) & (f["sentences"] >= 0.05) & (f["offers"] < 0.1),
-        (f["function_words"] >= 0.3) & (f["top3"] < 0.35) & (f["sentences"] >= 0.03) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["bangs"] < 0.02),
-        (n < 8) & (f["offers"] < 0.2) & (f["urls"] < 0.2) & (f["tags"] < 0.5),
-        (f["sentences"] >= 0.04) & (f["distinct"] >= 0.5) & (f["bigram_repeats"] < 0.2) & (f["urls"] < 0.06) & (f["offers"] < 0.1) & (f["bangs"] < 0.02),
+        (f["short_words"] >= 0.25) & (f["top3"] < 0.35) & (f["urls"] == 0) & (f["sentences"].clip(0.03, 0.2) == f["sentences"]) & (f["bangs"] == 0) & (f["separators"] < 0.1),
+        (f["digits"] >= 0.25) & (f["versions"] >= 0.08) & (f["bangs"] == 0),
+        (f["code"] >= 0.04) & (f["urls"] == 0) & (f["code_ends"] >= 0.5) & (f["bangs"] == 0),
+        (f["cjk"] >= 0.5) & (f["sentences"] >= 0.1) & (f["urls"] == 0) & (f["bangs"] == 0),
+        (f["sentences"] >= 0.05) & (f["hosts"] > 0) & (f["hosts"] <= 0.5) & (f["url_words"] < 0.5),
+        (n < 8) & (f["urls"] == 0) & (f["tags"] == 0) & (f["bangs"] == 0),
     ]
-    s, g = sum(a.astype(int) for a in spam), sum(a.astype(int) for a in fair)
-    return np.where(s > g, 1, np.where(g > s, 0, -1))
+    s, g = np.any(spam, axis=0), np.any(fair, axis=0)
+    return np.where(s & ~g, 1, np.where(g & ~s, 0, -1))
 
 
 class BaggedTrees:
@@ -155,6 +152,7 @@ class BaggedTrees:
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+        """x: rows of features; y: 0 or 1. out_of_bag: the mean over both classes of the rows that the trees not grown on them get wrong."""
         rng = np.random.default_rng(seed)
         classes = [np.flatnonzero(y == k) for k in (0, 1)]
         classes = [c for c in classes if len(c)]
@@ -162,9 +160,17 @@ class BaggedTrees:
         self.edges = [np.unique(np.concatenate([np.quantile(x[c, j], steps) for c in classes])) for j in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
         self.trees = []
+        votes, judged = np.zeros(len(y)), np.zeros(len(y))
         for _ in range(trees):
             rows = np.concatenate([rng.choice(c, len(y) // len(classes) + 1) for c in classes])
             self.trees.append(self._grow(binned[rows], y[rows].astype(float), depth, rng))
+            out = np.ones(len(y), bool)
+            out[rows] = False
+            votes[out] += self._leaves(self.trees[-1], x[out])
+            judged += out
+        wrong = (votes > judged / 2) != (y == 1)
+        shares = [wrong[c[judged[c] > 0]].mean() for c in classes if (judged[c] > 0).any()]
+        self.out_of_bag = float(np.mean(shares)) if shares else float("nan")
 
     def _grow(self, b: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut_at, left, right, value = [], [], [], [], []
@@ -202,20 +208,23 @@ class BaggedTrees:
         node(np.arange(len(y)), depth)
         return tuple(np.array(c) for c in (feature, cut_at, left, right, value))
 
+    @staticmethod
+    def _leaves(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+        feature, cut_at, left, right, value = tree
+        rows, at = np.arange(len(x)), np.zeros(len(x), int)
+        while True:
+            f = feature[at]
+            inner = f >= 0
+            if not inner.any():
+                return value[at]
+            goes = x[rows, np.maximum(f, 0)] < cut_at[at]
+            at = np.where(inner, np.where(goes, left[at], right[at]), at)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Mean of the trees' shares of spam, for each row."""
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut_at, left, right, value in self.trees:
-            at = np.zeros(len(x), int)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                goes = x[rows, np.maximum(f, 0)] < cut_at[at]
-                at = np.where(inner, np.where(goes, left[at], right[at]), at)
-            total += value[at]
+        for tree in self.trees:
+            total += self._leaves(tree, x)
         return total / len(self.trees)
 
 
@@ -223,14 +232,19 @@ def _page_blocks(text: str | None) -> list[list[float]]:
     return [f for f in map(block_features, blocks(text)) if f] if text else []
 
 
+def sample_bound(pages: int, sample_pages: int) -> int:
+    """The 62-bit hash below which about sample_pages of ``pages`` ids fall; never 0 while any page is wanted."""
+    return max(1, 2**62 * sample_pages // pages) if pages > sample_pages else 2**62
+
+
 def train(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BaggedTrees | None:
-    """Trees from the weakly labelled blocks of at most about ``sample_pages`` pages, taken by a hash of the id.
+    """Trees from the weakly labelled blocks of about ``sample_pages`` pages, taken by a hash of the id.
 
-    What reaches the driver is bounded by sample_pages, whatever the size of the corpus.
+    What reaches the driver is bounded by sample_pages, whatever the size of the corpus; equal rows count once, so
+    copies of one text cannot fill the sample. None if no block of the sample is labelled.
     """
     pages = documents.where("text IS NOT NULL").count()
-    share = min(1.0, sample_pages / max(pages, 1))
-    picked = documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    picked = documents.where(F.col("text").isNotNull() & (F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(sample_bound(pages, sample_pages))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,21 +256,18 @@ def train(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BaggedTrees
     rows = picked.select("text").mapInArrow(run, "f array<double>").toPandas()["f"]
     if not len(rows):
         return None
-    x = np.array(rows.tolist())
-    x = x[np.lexsort(x.T)]  # the order of arrival does not matter
-    y = weak_labels(x)
-    x, y = x[y >= 0], y[y >= 0]
-    return BaggedTrees(x, y) if len(y) else None
+    x = np.unique(np.array(rows.tolist()), axis=0)  # sorted: the order of arrival does not matter
+    return BaggedTrees(x, weak_labels(x))
 
 
 def page_scores(documents: DataFrame, trees: BaggedTrees) -> DataFrame:
-    """(doc_id, host, words, score): score is the share of the page's words in blocks judged to be spam."""
+    """(doc_id, host, words, score): score is the mean of the trees' shares of spam over the page's words."""
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            ids, features, owner = [], [], []
+            features, owner = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = _page_blocks(text)
                 features += found
@@ -265,9 +276,9 @@ def page_scores(documents: DataFrame, trees: BaggedTrees) -> DataFrame:
             spam = words = np.zeros(n)
             if features:
                 x = np.array(features)
-                p, w, at = model.predict(x), np.expm1(x[:, 0]), np.array(owner)
+                w, at = np.expm1(x[:, 0]), np.array(owner)
                 words = np.bincount(at, weights=w, minlength=n)
-                spam = np.bincount(at, weights=w * (p > 0.5), minlength=n) * 0.9 + np.bincount(at, weights=w * p, minlength=n) * 0.1
+                spam = np.bincount(at, weights=w * model.predict(x), minlength=n)
             keep = words > 0
             ids = batch.column(0).filter(pa.array(keep))
             host = batch.column(1).filter(pa.array(keep))
@@ -277,11 +288,34 @@ def page_scores(documents: DataFrame, trees: BaggedTrees) -> DataFrame:
     return pages.mapInArrow(run, "doc_id long, host string, words long, score double")
 
 
-def _log_odds(p):
-    p = F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))
+def _log_odds(share: Column) -> Column:
+    p = F.least(F.greatest(share, F.lit(ODDS_BOUND)), F.lit(1 - ODDS_BOUND))
     return F.log(p / (1 - p))
 
 
+def smoothed(scores: DataFrame, weight: float = HOST_WEIGHT, prior: float = HOST_PRIOR) -> DataFrame:
+    """(doc_id, host, words, score, spam): the scored pages, and whether each is spam once its host's rate has its say.
+
+    The log-odds of the page's score are shifted by ``weight`` times those of its host's mean score less those of all
+    pages'; a host is taken for average until it has about ``prior`` pages. As log-odds are bounded, so is the shift:
+    pages beyond it are decided by their score, and only the rest is joined with the host rates, in salted parts, so
+    that a host of a third of all pages is no hot task. Null hosts count as one host.
+    """
+    scores = scores.withColumn("host", F.coalesce("host", F.lit("")))
+    overall = scores.agg(F.avg("score").alias("mean")).first()["mean"]
+    if overall is None:
+        return scores.withColumn("spam", F.lit(False))
+    odds = _log_odds(F.col("score"))
+    furthest = weight * 2 * abs(math.log(ODDS_BOUND / (1 - ODDS_BOUND)))
+    near = F.abs(odds) <= furthest
+    rates = scores.groupBy("host").agg(((F.sum("score") + prior * overall) / (F.count(F.lit(1)) + prior)).alias("rate"))
+    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    undecided = scores.where(near).withColumn("salt", F.pmod(F.xxhash64("doc_id", "score"), F.lit(SALTS)).cast("int"))
+    shifted = odds + weight * (_log_odds(F.col("rate")) - _log_odds(F.lit(overall)))
+    moved = undecided.join(rates, ["host", "salt"]).select(*scores.columns, (shifted > 0).alias("spam"))
+    return scores.where(~near).withColumn("spam", odds > 0).unionByName(moved)
+
+
 def spam_pages(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(doc_id) of the pages most of whose words are repeated key terms, link collections or product tags.
 
@@ -292,12 +326,4 @@ def spam_pages(documents: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFr
     trees = train(documents, sample_pages)
     if trees is None:
         return documents.where("false").select("doc_id")
-    scores = cut(page_scores(documents, trees))
-    overall = scores.agg(F.avg("score").alias("mean")).first()["mean"]
-    if overall is None:
-        return scores.select("doc_id")
-    rates = scores.groupBy("host").agg(((F.sum("score") + HOST_PRIOR * overall) / (F.count(F.lit(1)) + HOST_PRIOR)).alias("rate"))
-    hosts = rates.count()
-    joined = scores.join(F.broadcast(rates) if hosts <= HOST_BROADCAST_ROWS else rates, "host")  # beyond, a join that AQE splits at hot hosts
-    shifted = _log_odds(F.col("score")) + HOST_WEIGHT * (_log_odds(F.col("rate")) - _log_odds(F.lit(overall)))
-    return joined.where(shifted > 0).select("doc_id")
+    return smoothed(cut(page_scores(documents, trees))).where("spam").select("doc_id")

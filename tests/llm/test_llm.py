@@ -7,12 +7,14 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from pkgloom.llm import spam
 from pkgloom.llm.leakage import leaked_items, plain, word_lists
 from pkgloom.llm.queries import QUERIES, TOKENIZERS
-from pkgloom.llm.spam import FEATURES, BaggedTrees, block_features, blocks, spam_pages, weak_labels
+from pkgloom.llm.spam import FEATURES, BaggedTrees, block_features, blocks, smoothed, spam_pages, weak_labels
 from pkgloom.llm.tokenize import TokenizationAutomaton, read_merges, split_words, texts_of_ids, token_ids
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -198,6 +200,46 @@ def test_features_and_trees():
     assert set(weak_labels(np.array([block_features(_prose(random.Random(1), 5)), block_features("#a #b #c #d #e #f")]))) == {0, 1}
 
 
+def test_trees_decide_what_rules_leave_open(data):
+    """Most blocks have no label; trained on those that have, the trees find pages of kinds that no rule names."""
+    texts = pq.read_table(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    pages = [spam._page_blocks(t) for t in texts]
+    x = np.array([f for p in pages for f in p])
+    y = weak_labels(x)
+    known = np.unique(x[y >= 0], axis=0)
+    trees = BaggedTrees(known, weak_labels(known))
+    assert (y == -1).any() and trees.out_of_bag < 0.1
+    at, w = np.repeat(np.arange(len(pages)), [len(p) for p in pages]), np.expm1(x[:, 0])
+    share = lambda v: np.bincount(at, weights=w * v, minlength=len(pages)) / np.maximum(np.bincount(at, weights=w, minlength=len(pages)), 1)
+    by_rules, by_trees = share(y == 1) > 0.5, share(trees.predict(x)) > 0.5
+    assert by_trees.sum() > 1.05 * by_rules.sum() and (by_trees & by_rules).sum() >= 0.98 * by_rules.sum()
+
+
+def test_hosts_move_pages(spark):
+    rng = random.Random(4)
+    rows = [(i, "bad", 100, 0.9 if i % 10 else 0.45) for i in range(400)]
+    rows += [(1000 + i, f"h{i % 40}" if i % 7 else None, 100, rng.choice([0.02, 0.1, 0.3, 0.45, 0.55, 0.99])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, words long, score double")
+    mean = sum(r[3] for r in rows) / len(rows)
+    odds = lambda p: np.log(min(max(p, 0.01), 0.99) / (1 - min(max(p, 0.01), 0.99)))
+    of_host: dict = {}
+    for _, h, _, p in rows:
+        of_host.setdefault(h, []).append(p)
+    rate = {h: (sum(v) + spam.HOST_PRIOR * mean) / (len(v) + spam.HOST_PRIOR) for h, v in of_host.items()}
+    want = {i for i, h, _, p in rows if odds(p) + spam.HOST_WEIGHT * (odds(rate[h]) - odds(mean)) > 0}
+    out = smoothed(df)
+    assert out.count() == len(rows)
+    got = {r[0] for r in out.where("spam").collect()}
+    assert got == want
+    assert 10 in got and got != {r[0] for r in rows if r[3] > 0.5}  # a page at 0.45 on a host of spam
+    assert smoothed(df.limit(0)).count() == 0
+
+
+def test_sample_is_never_empty():
+    assert spam.sample_bound(10**13, 8000) > 10**6 and spam.sample_bound(100, 8000) == 2**62
+    assert spam.sample_bound(10**30, 1) == 1
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
