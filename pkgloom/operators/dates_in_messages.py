@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pkgloom.operators.drift import field_aliases, profile_fields
 from pkgloom.operators.jsonio import parse_object, parse_value
 from pkgloom.operators.timestamps import utc_micros
-from pkgloom.session import cut
 
 SCHEMA = "record_key long, feed_id int, field_name string, item_no int, value string"
 
@@ -40,8 +39,8 @@ def _rows(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
     for batch in batches:
         cols: list[list] = [[] for _ in types]
-        for key, feed, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for name, no, v in found(text):
+        for key, feed, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, no, v in found(*rest):
                 v = _text(v)
                 if v:
                     for c, x in zip(cols, (key, feed, name, no, v)):
@@ -66,16 +65,16 @@ def statement_dates(vulnerabilities: DataFrame) -> DataFrame:
 
 
 def message_dates(messages: DataFrame) -> DataFrame:
-    """payload.date of each message, under any name it was given."""
-    names = field_aliases(cut(profile_fields(messages, within={"", "payload."})), ["payload", "payload.date"])
+    """payload.date of each message, under any name it was given in its topic partition."""
+    names = field_aliases(profile_fields(messages, within={"", "payload."}), ["payload", "payload.date"])
 
-    def found(text: str | None):
-        m = parse_object(text)
-        payload = m and next((m[k] for k in names["payload"] if k in m), None)
+    def found(text: str | None, part: int | None):
+        m, of = parse_object(text), names.of(part)
+        payload = m and next((m[k] for k in of["payload"] if k in m), None)
         if isinstance(payload, dict):
-            yield "date", 0, next((payload[k] for k in names["payload.date"] if k in payload), None)
+            yield "date", 0, next((payload[k] for k in of["payload.date"] if k in payload), None)
 
-    return messages.select("record_id", "feed_id", "message").mapInArrow(lambda b: _rows(b, found), SCHEMA)
+    return messages.select("record_id", "feed_id", "message", F.col("topic_partition").cast("int")).mapInArrow(lambda b: _rows(b, found), SCHEMA)
 
 
 def dated_values(vulnerabilities: DataFrame, messages: DataFrame, feeds: DataFrame) -> DataFrame:

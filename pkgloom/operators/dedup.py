@@ -37,18 +37,20 @@ def message_digest(text: str | None, names: list[list[str]]) -> bytes | None:
 
 def with_digest(messages: DataFrame, order: str = "record_id", message: str = "message", identity: tuple[str, ...] = IDENTITY, part: str = "topic_partition") -> DataFrame:
     """(order, digest) of every message that is a JSON object; renamed keys are found by field_aliases."""
-    profile = cut(profile_fields(messages, part, message, within={""}))
-    aliases = field_aliases(profile, list(identity))
-    names = [aliases[k] for k in identity]
+    aliases = field_aliases(profile_fields(messages, part, message, within={""}), list(identity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int | None, list[list[str]]] = {}
         for batch in batches:
-            digests = [message_digest(t, names) for t in batch.column(1).to_pylist()]
+            parts = batch.column(2).to_pylist()
+            for p in set(parts) - names.keys():
+                names[p] = [aliases.of(p)[k] for k in identity]
+            digests = [message_digest(t, names[p]) for t, p in zip(batch.column(1).to_pylist(), parts)]
             keep = pa.array([d is not None for d in digests])
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["ord", "digest"])
             yield out.filter(keep)
 
-    return messages.select(F.col(order).cast("long").alias("ord"), F.col(message).cast("string").alias("m")).mapInArrow(run, "ord long, digest binary")
+    return messages.select(F.col(order).cast("long").alias("ord"), F.col(message).cast("string").alias("m"), F.col(part).cast("int").alias("p")).mapInArrow(run, "ord long, digest binary")
 
 
 def repeated(digests: DataFrame) -> DataFrame:

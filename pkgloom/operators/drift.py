@@ -1,11 +1,17 @@
 """Schemas that drift between releases of a producer: change report, rename chains, one consistent table.
 
 Each message is walked once (Arrow batches). What leaves the walk is a profile of the schema, not data: per
-(partition, version, field) a count, the JSON types seen and a hashed histogram of value features, summed
-with map-side combine. The profiles of neighbouring versions are then matched by similarity flooding: nodes
-are field names, types and nesting; the score of a pair of fields starts from name and value similarity,
-flows along the parent-child edges of both schema graphs until it converges, and the mutually best pairs of
-one object become renames.
+(partition, version, field) a count, the JSON types seen and a hashed histogram of value features, written out in
+partial rows. Counts and types are summed first; they say which fields vanished or appeared between neighbouring
+versions, and only the histograms of those are read again, summed and shuffled.
+
+Every pair of neighbouring versions is then matched by similarity flooding. Both schemas are graphs: fields with edges
+to the object they stand in, to the parts of their name, to their type and to the features of their values. The
+nodes of the propagation graph are pairs of fields that may correspond, among them the objects and fields that both
+versions share (known, so their score stays 1), and pairs of name parts, types and features that occur on both sides.
+It starts from the likeness of the names alone; scores flow along the edges until they no longer move, so that features
+many pairs lay claim to count less and an object is known by what it holds. The converged scores alone decide: the
+best consistent pairs that reach RENAMED become renames.
 
 Null, empty, broken or non-object messages, and messages without a version, are left out of every result.
 """
@@ -19,15 +25,23 @@ from math import sqrt
 from typing import Any
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pkgloom.operators.jsonio import BIT, kind, parse_object
-from pkgloom.session import cut
+from pkgloom.session import Scratch
 
 BINS = 509
+FLOW = 0.9  # of a score that comes from the neighbours; the rest is what it started from
+LABELS = {"value": 0.75, "name": 0.1, "type": 0.1, "parent": 0.05}  # weights of the edges of a pair of fields
+BARE_NAME = 0.5  # of the name where neither field holds values or fields
+RENAMED = 0.35  # converged score from which a pair corresponds
+VERSION_NAME = 0.5  # likeness to the version's key from which another key may hold the version
+NO_PARTITION = -(2**31)
 _VERSION = re.compile(r"\d+(?:\.\d+)+(?:[.\-+]\w+)*")
 _RUN = re.compile(r"([a9])\1+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -35,7 +49,7 @@ _NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 NO_NUMBER = 64  # beside the type bits of a field: some plain value of it is not the text of a number
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
-PROFILE_SCHEMA = "part int, version string, path string, parent string, bin int, w double, n long, types int"
+PROFILE_SCHEMA = "part int, version string, path string, parent string, n long, types int, bins array<int>, ws array<float>"
 CHANGE_SCHEMA = "topic_partition int, plugin_version string, old_field string, new_field string, change_kind string"
 
 
@@ -103,12 +117,12 @@ def name_similarity(a: str, b: str) -> float:
 
 
 def version_of(message: dict, key: str = "plugin_version") -> tuple[str, str] | None:
-    """(key, version) of a message, also where the version stands under another name at the top level."""
+    """(key, version) of a message, also where the version stands under another name of the top level that is like ``key``."""
     v = message.get(key)
     if isinstance(v, str) and v:
         return key, v
-    best = max(((name_similarity(key, k), k) for k, v in message.items() if isinstance(v, str) and _VERSION.fullmatch(v)), default=None)
-    return (best[1], message[best[1]]) if best else None
+    best = max(((name_similarity(key, k), k) for k, v in message.items() if isinstance(v, str) and _VERSION.fullmatch(v)), default=(0.0, ""))
+    return (best[1], message[best[1]]) if best[0] >= VERSION_NAME else None
 
 
 def version_key(version: str) -> tuple:
@@ -188,131 +202,199 @@ def _emit(acc: dict) -> Iterator[pa.RecordBatch]:
             for text, times in bag.items():
                 for b, w in _features(text):
                     hist[b] = hist.get(b, 0.0) + w * times
-            for b, w in [(-1, 0.0), *hist.items()]:
-                for c, x in zip(cols, (part, version, path, parent, b, w, n if b < 0 else 0, types if b < 0 else 0)):
-                    c.append(x)
+            for c, x in zip(cols, (part, version, path, parent, n, types, list(hist), list(hist.values()))):
+                c.append(x)
     if cols[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int32()))], names=["part", "version", "path", "parent", "bin", "w", "n", "types"])
+        types_of = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_of)], names=["part", "version", "path", "parent", "n", "types", "bins", "ws"])
 
 
 def profile_fields(messages: DataFrame, part: str = "topic_partition", message: str = "message", within: set[str] | None = None, version_name: str = "plugin_version") -> DataFrame:
-    """Schema profile of JSON messages per (part, version, field).
+    """Schema profile of JSON messages: partial rows per (part, version, field), written to the shared folder.
 
     within: the object prefixes to enter ("" is always entered; e.g. {"payload."}); None enters everything.
+    Messages of a null partition form a partition of their own.
     """
-    raw = messages.select(F.col(part).cast("int").alias("part"), F.col(message).cast("string").alias("message"))
-    rows = raw.mapInArrow(_profiler(within, version_name), PROFILE_SCHEMA)
-    return rows.groupBy("part", "version", "path", "parent", "bin").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.bit_or("types").alias("types"))
+    raw = messages.select(F.coalesce(F.col(part).cast("int"), F.lit(NO_PARTITION)).alias("part"), F.col(message).cast("string").alias("message"))
+    return Scratch(messages.sparkSession).write(raw.mapInArrow(_profiler(within, version_name), PROFILE_SCHEMA))[0]
 
 
 class Field:
     __slots__ = ("parent", "n", "types", "hist")
 
-    def __init__(self, parent: str):
-        self.parent, self.n, self.types, self.hist = parent, 0, 0, {}
+    def __init__(self, parent: str, n: int = 0, types: int = 0, hist: dict[int, float] | None = None):
+        self.parent, self.n, self.types, self.hist = parent, n, types & ~NO_NUMBER, hist or {}
 
 
-def _schemas(pdf: pd.DataFrame) -> dict[str, dict[str, Field]]:
-    out: dict[str, dict[str, Field]] = {}
-    for version, path, parent, b, w, n, types in zip(*(pdf[c].tolist() for c in ("version", "path", "parent", "bin", "w", "n", "types"))):
-        f = out.setdefault(version, {}).get(path)
-        if f is None:
-            f = out[version][path] = Field(parent)
-        if b < 0:
-            f.n, f.types = f.n + n, f.types | types & ~NO_NUMBER
-        else:
-            f.hist[b] = f.hist.get(b, 0.0) + w
-    return out
+def value_parts(a: Field, b: Field) -> dict[int, float]:
+    """Shares of the cosine of both value histograms by bin, without the bin of empty texts."""
+    x, y = ({k: v for k, v in f.hist.items() if k} for f in (a, b))
+    if not x and not y:
+        return {0: 1.0} if a.hist and b.hist else {}
+    if not x or not y:
+        return {}
+    size = sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return {k: v * y[k] / size for k, v in x.items() if k in y}
 
 
 def value_similarity(a: Field, b: Field) -> float | None:
     """Cosine of the value histograms without the bin of empty texts; None where neither field holds a plain value."""
-    x, y = ({k: v for k, v in f.hist.items() if k} for f in (a, b))
-    if not x and not y:
-        return 1.0 if a.hist and b.hist else None
-    if not x or not y:
-        return 0.0
-    return sum(v * y.get(k, 0.0) for k, v in x.items()) / sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(value_parts(a, b).values()) if a.hist or b.hist else None
 
 
 def _nested(f: Field) -> int:
     return f.types & (BIT["object"] | BIT["array"])
 
 
-def _children(schema: dict[str, Field], path: str) -> dict[str, str]:
-    """Last key -> path of the fields directly inside ``path`` as an object or as an array of objects."""
-    out = {}
-    for start in (path + ".", path + "[]."):
-        out |= {p[len(start) :]: p for p, f in schema.items() if f.parent == start}
+def _kids(schema: dict[str, Field]) -> dict[str, dict[str, str]]:
+    """Path of an object or of an array of objects ('' for the message) -> last key -> path of the fields directly inside."""
+    out: dict[str, dict[str, str]] = {}
+    for p, f in schema.items():
+        out.setdefault(_object(f.parent), {})[p[len(f.parent) :]] = p
     return out
 
 
-def match_schemas(old: dict[str, Field], new: dict[str, Field], rounds: int = 30, tolerance: float = 1e-4) -> list[tuple[str, str]]:
-    """Renamed fields (old path, new path) between two schema graphs, by similarity flooding.
+def _object(prefix: str) -> str:
+    """The path of the field whose insides begin with ``prefix``."""
+    prefix = prefix[:-1] if prefix.endswith(".") else prefix
+    while prefix.endswith("[]"):
+        prefix = prefix[:-2]
+    return prefix
+
 
-    Only fields that vanished and fields that appeared in the same object are candidates; fields that both
-    schemas share are fixed points of the flooding.
+class Propagation:
+    """The propagation graph of two schemas and its fixed point.
+
+    pairs: (old path, new path) -> place; ("", "") is the message itself.
+    """
+
+    def __init__(self, old: dict[str, Field], new: dict[str, Field]):
+        self.old, self.new = old, new
+        self.kids = _kids(old), _kids(new)
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.start: list[float] = []
+        self.parent: list[int] = []
+        self.edges: dict[str, list[tuple[int, int, float]]] = {"name": [], "type": [], "value": []}  # pair, attribute, weight
+        self.inner: list[tuple[int, int, int, float]] = []  # pair, place of one of its fields in self.slots, pair of that field, weight
+        self.slots = 0
+        self.attributes: dict[tuple, int] = {}
+        self.candidates = [(a, b) for a in self._lone(old, new) for b in self._lone(new, old) if old[a].parent == new[b].parent]
+        if self.candidates:
+            self._pair("", "", -1, sorted({_object(old[a].parent) for a, _ in self.candidates}))
+
+    @staticmethod
+    def _lone(one: dict[str, Field], other: dict[str, Field]) -> list[str]:
+        return [p for p, f in one.items() if p not in other and _there(f.parent, other)]
+
+    def _attribute(self, *key) -> int:
+        return self.attributes.setdefault(key, len(self.attributes))
+
+    def _pair(self, a: str, b: str, parent: int, shared: list[str]) -> int:
+        """Adds a pair and what lies inside it; ``shared``: the objects of both schemas that hold candidates."""
+        at = self.pairs[a, b] = len(self.start)
+        self.parent.append(parent)
+        if not a:
+            self.start.append(1.0)
+        else:
+            fa, fb = self.old[a], self.new[b]
+            x, y = a[len(fa.parent) :], b[len(fb.parent) :]
+            named = name_similarity(x, y)
+            self.start.append(named)
+            alike = 1.0 if fa.types == fb.types or not fa.types or not fb.types else 0.9 if not (_nested(fa) | _nested(fb)) else 0.3
+            self.edges["type"].append((at, self._attribute("type", min(fa.types, fb.types), max(fa.types, fb.types)), alike))
+            words = sorted({p.lower() for p in _NAME_PART.findall(x)} & {p.lower() for p in _NAME_PART.findall(y)}) or [f"{x} {y}"]
+            self.edges["name"] += [(at, self._attribute("name", w), named / len(words)) for w in words]
+            if a != b:
+                self.edges["value"] += [(at, self._attribute("value", k), w) for k, w in value_parts(fa, fb).items()]
+        within, same = (self.kids[0].get(a, {}), self.kids[1].get(b, {})), a == b
+        if not same:
+            combos = [(x, y) for x in within[0].values() for y in within[1].values()]
+        elif a in shared or any(_inside(s, a) for s in shared):
+            both = within[0].keys() & within[1].keys()
+            combos = [(within[0][k], within[1][k]) for k in sorted(both)]
+            if a in shared:
+                combos += [(x, y) for x, y in self.candidates if _object(self.old[x].parent) == a]
+        else:
+            combos = []
+        slots: dict[tuple[int, str], int] = {}
+        found = [(x, y, self._pair(x, y, at, shared)) for x, y in combos]
+        for side, fields in enumerate(within):
+            for p in fields.values():
+                slots[side, p] = self.slots
+                self.slots += 1
+        each = 1.0 / max(len(slots), 1)
+        self.inner += [(at, slots[side, p], q, each) for x, y, q in found for side, p in ((0, x), (1, y))]
+        return at
+
+    def scores(self, rounds: int | None = None, tolerance: float = 1e-6) -> np.ndarray:
+        """The converged score of each pair, in 0 to 1; ``rounds`` stops earlier, for comparison (0: names alone).
+
+        A pair's score is a tenth what it started from and nine tenths the weighted sum of its labels: the features it
+        shares, the best partners of the fields inside it, its name parts, its type, and the pair it stands in. A
+        feature's score is the mean of the pairs that share it, that of a name part or type the best of them. Each round
+        changes no score by more than 0.9 of the largest change before, so the fixed point exists, is unique and is
+        reached.
+        """
+        n, k = len(self.start), len(self.attributes)
+        parent = np.array(self.parent)
+        shared = np.array([a == b for a, b in self.pairs])
+        holds = np.array([bool(self.kids[0].get(a) or self.kids[1].get(b)) for a, b in self.pairs])
+        valued = np.array([a != b and bool(self.old[a].hist or self.new[b].hist) for a, b in self.pairs])
+        named = np.where(holds | valued, LABELS["name"], BARE_NAME)
+        pair, attribute, weight, best_of = {}, {}, {}, {"name": True, "type": True, "value": False}
+        for label, rows in self.edges.items():
+            pair[label], attribute[label], weight[label] = (np.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (int, int, float)))
+        total = np.zeros(k)
+        np.add.at(total, attribute["value"], weight["value"])
+        slot_of, slot, inside, share = (np.array(c, t) for c, t in zip(zip(*self.inner) if self.inner else ((), (), (), ()), (int, int, int, float)))
+        _, first = np.unique(slot, return_index=True)
+        start = np.where(shared, 1.0, np.array(self.start))
+        score, done = start.copy(), 0
+        while rounds is None or done < rounds:
+            done += 1
+            flow = {}
+            for label, best in best_of.items():
+                into = np.zeros(k)
+                if best:
+                    np.maximum.at(into, attribute[label], score[pair[label]])
+                else:
+                    np.add.at(into, attribute[label], weight[label] * score[pair[label]])
+                    into = np.divide(into, total, out=np.zeros(k), where=total > 0)
+                flow[label] = np.zeros(n)
+                np.add.at(flow[label], pair[label], weight[label] * ((1 - FLOW) + FLOW * into)[attribute[label]])
+            best_inside, within = np.zeros(self.slots), np.zeros(n)
+            np.maximum.at(best_inside, slot, score[inside])
+            np.add.at(within, slot_of[first], share[first] * best_inside[slot[first]])
+            value = np.where(valued & holds, (flow["value"] + within) / 2, flow["value"] + within)
+            after = (1 - FLOW) * start + FLOW * (named * flow["name"] + LABELS["type"] * flow["type"] + LABELS["parent"] * score[parent] + LABELS["value"] * value)
+            after[shared] = 1.0
+            moved = np.abs(after - score).max()
+            score = after
+            if moved < tolerance:
+                break
+        return score
+
+
+def _inside(path: str, outer: str) -> bool:
+    """Whether the object ``path`` lies in ``outer``."""
+    return not outer or path.startswith((outer + ".", outer + "[]"))
+
+
+def match_schemas(old: dict[str, Field], new: dict[str, Field], rounds: int | None = None) -> list[tuple[str, str]]:
+    """Renamed fields (old path, new path) between two schemas, by the converged scores of their propagation graph.
+
+    Candidates are the fields that vanished and those that appeared in the same object. Of the pairs that reach RENAMED
+    the best are taken first, each field once; a plain field and one that holds others never correspond.
     """
-    gone = [p for p, f in old.items() if p not in new and _there(f.parent, new)]
-    came = [p for p, f in new.items() if p not in old and _there(f.parent, old)]
-    start: dict[tuple[str, str], float] = {}
-    evidence: dict[tuple[str, str], float | None] = {}
-    edges: dict[tuple[str, str], list[tuple[tuple[str, str], float]]] = {}
-
-    def pair(a: str, b: str) -> None:
-        if (a, b) in start:
-            return
-        fa, fb = old[a], new[b]
-        named = name_similarity(a[len(fa.parent) :], b[len(fb.parent) :])
-        value = None if _nested(fa) and not fa.hist and not fb.hist else value_similarity(fa, fb)
-        alike = 1.0 if fa.types == fb.types or not fa.types or not fb.types else 0.9 if not (_nested(fa) | _nested(fb)) else 0.3
-        rate = min(fa.n, fb.n) / max(fa.n, fb.n, 1)
-        evidence[a, b] = value
-        start[a, b] = alike * (0.3 * named + 0.1 * rate + 0.6 * (named if value is None else value))
-        edges[a, b] = []
-        inner_a, inner_b = _children(old, a), _children(new, b)
-        inner = [(x, y) for x in inner_a.values() for y in inner_b.values()]
-        for x, y in inner:
-            pair(x, y)
-            weight = 1.0 / max(len(inner_a), len(inner_b))
-            edges[a, b].append(((x, y), weight))
-            edges[x, y].append(((a, b), weight))
-
-    for a in gone:
-        for b in came:
-            if old[a].parent == new[b].parent:
-                pair(a, b)
-    if not start:
+    graph = Propagation(old, new)
+    if not graph.candidates:
         return []
-    score = dict(start)
-    for _ in range(rounds):  # sigma(i+1) = normalise(sigma0 + sigma(i) + flow from the neighbours)
-        flowed = {p: start[p] + score[p] + 0.5 * sum(score[q] * w for q, w in edges[p]) for p in score}
-        top = max(flowed.values()) or 1.0
-        flowed = {p: s / top for p, s in flowed.items()}
-        moved = sum(abs(flowed[p] - score[p]) for p in score)
-        score = flowed
-        if moved < tolerance * len(score):
-            break
-
-    def supported(a: str, b: str) -> bool:
-        fa, fb = old[a], new[b]
-        named, value = name_similarity(a[len(fa.parent) :], b[len(fb.parent) :]), evidence[a, b]
-        if bool(_nested(fa)) != bool(_nested(fb)) and fa.types and fb.types:
-            return False
-        inner_a, inner_b = _children(old, a), _children(new, b)
-        if inner_a or inner_b:
-            if not inner_a or not inner_b:
-                return named >= 0.5
-            kept = [max((max(evidence[x, y] or 0.0, 0.9 * (kx == ky)) for ky, y in inner_b.items()), default=0.0) for kx, x in inner_a.items()]
-            return sum(kept) / len(kept) >= 0.6
-        if value is None:
-            return named >= 0.5
-        return value >= 0.75 or value >= 0.45 and named >= 0.5
-
-    wanted = {(a, b) for a in gone for b in came if (a, b) in start and old[a].parent == new[b].parent}
+    score = graph.scores(rounds)
+    ranked = sorted((-round(float(score[graph.pairs[p]]), 9), p) for p in graph.candidates)
     out, used_a, used_b = [], set(), set()
-    for a, b in sorted(wanted, key=lambda p: (-score[p], p)):
-        if a not in used_a and b not in used_b and supported(a, b):
+    for s, (a, b) in ranked:
+        plain = bool(_nested(old[a])) != bool(_nested(new[b])) and old[a].types and new[b].types
+        if -s >= RENAMED and not plain and a not in used_a and b not in used_b:
             out.append((a, b))
             used_a.add(a)
             used_b.add(b)
@@ -320,12 +402,12 @@ def match_schemas(old: dict[str, Field], new: dict[str, Field], rounds: int = 30
 
 
 def _there(parent: str, schema: dict[str, Field]) -> bool:
-    return not parent or parent.rstrip(".").removesuffix("[]") in schema
+    return not parent or _object(parent) in schema
 
 
-def compare_schemas(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[str, str, str]]:
+def compare_schemas(old: dict[str, Field], new: dict[str, Field], rounds: int | None = None) -> list[tuple[str, str, str]]:
     """(old_field, new_field, change_kind) from ``old`` to ``new``; nothing inside an added, removed or renamed field."""
-    renamed = match_schemas(old, new)
+    renamed = match_schemas(old, new, rounds)
     left, right = {a for a, _ in renamed}, {b for _, b in renamed}
     out = [(a, b, "renamed") for a, b in renamed]
     out += [(a, "", "removed") for a, f in old.items() if a not in new and a not in left and _there(f.parent, new)]
@@ -336,54 +418,160 @@ def compare_schemas(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[
     return out
 
 
+def _version_order(version: Column) -> list[Column]:
+    """Columns that sort versions as version_key does; digits of any length are compared as numbers."""
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+(?=.)", "")
+        return F.struct(F.length(digits).alias("n"), digits.alias("d"))
+
+    def token(x: Column) -> Column:
+        digit = x.rlike(r"^\d")
+        return F.struct(F.when(digit, 0).otherwise(1).alias("k"), F.when(digit, number(x)).otherwise(number(F.lit("0"))).alias("n"), F.when(digit, "").otherwise(x).alias("t"))
+
+    main = F.split(version, r"[-+]", 2)[0]
+    words = F.regexp_extract_all(version, F.lit(r"(\d+|[^\W\d_]+)"), 1)
+    return [F.transform(F.regexp_extract_all(main, F.lit(r"(\d+)"), 1), number), ~F.contains(version, F.lit("-")), F.transform(words, token), version]
+
+
+def version_pairs(profile: DataFrame) -> DataFrame:
+    """part, version, path, parent, n, types, role, at: the fields of each version, as the new side of the pair of versions
+    that ends with it (at: itself) and as the old side of the next one (at: that version)."""
+    fields = profile.groupBy("part", "version", "path", "parent").agg(F.sum("n").alias("n"), F.bit_or("types").alias("types"))
+    w = Window.partitionBy("part").orderBy(*_version_order(F.col("version")))  # a row per version
+    around = profile.select("part", "version").distinct().withColumns({"before": F.lag("version").over(w), "after": F.lead("version").over(w)})
+    sides = F.array(
+        F.struct(F.lit("new").alias("role"), F.when(F.col("before").isNotNull(), F.col("version")).alias("at")),
+        F.struct(F.lit("old").alias("role"), F.col("after").alias("at")),
+    )
+    roles = around.select("part", "version", F.inline(sides)).where("at IS NOT NULL")
+    return fields.join(roles, ["part", "version"])
+
+
+def _histograms(profile: DataFrame, fields: DataFrame) -> DataFrame:
+    """part, version, path, bins, ws of the wanted ``fields`` (part, version, path), summed."""
+    rows = profile.select("part", "version", "path", "bins", "ws").join(fields.distinct(), ["part", "version", "path"], "left_semi")
+    flat = rows.select("part", "version", "path", F.inline(F.arrays_zip(F.col("bins").alias("bin"), F.col("ws").alias("w"))))
+    summed = flat.groupBy("part", "version", "path", "bin").agg(F.sum("w").alias("w"))
+    packed = summed.groupBy("part", "version", "path").agg(F.collect_list(F.struct("bin", "w")).alias("h"))  # at most BINS
+    return packed.select("part", "version", "path", F.col("h.bin").alias("bins"), F.col("h.w").alias("ws"))
+
+
+def _fields(pdf: pd.DataFrame) -> dict[str, Field]:
+    out = {}
+    for path, parent, n, types, bins, ws in zip(*(pdf[c].tolist() for c in ("path", "parent", "n", "types", "bins", "ws"))):
+        hist = {} if bins is None else dict(zip(np.asarray(bins).tolist(), np.asarray(ws).tolist()))
+        out[path] = Field(parent, n, types, hist)
+    return out
+
+
 def field_changes(profile: DataFrame) -> DataFrame:
     """Every schema change between neighbouring versions of each partition, with the columns of CHANGE_SCHEMA.
 
-    A group holds one row per (version, field, bin), so its size follows the schema, not the number of messages.
+    A group is a pair of neighbouring versions: two schemas, whatever the number of messages. Histograms are read only
+    for fields that stand in one of the two.
     """
+    pairs = version_pairs(profile)
+    sided = pairs.groupBy("part", "at", "path").agg(F.count(F.lit(1)).alias("sides"), F.max("version").alias("version"))
+    lone = sided.where("sides = 1").select("part", "version", "path")
+    full = pairs.join(_histograms(profile, lone), ["part", "version", "path"], "left")
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        schemas = _schemas(pdf)
-        order = sorted(schemas, key=version_key)
-        rows = [(key[0], v, a, b, k) for u, v in zip(order, order[1:]) for a, b, k in compare_schemas(schemas[u], schemas[v])]
-        return pd.DataFrame(rows, columns=["topic_partition", "plugin_version", "old_field", "new_field", "change_kind"])
+        old, new = (_fields(pdf[pdf["role"] == r]) for r in ("old", "new"))
+        part = None if key[0] == NO_PARTITION else key[0]
+        rows = [(part, key[1], a, b, k) for a, b, k in compare_schemas(old, new)]
+        return pd.DataFrame(rows, columns=["topic_partition", "plugin_version", "old_field", "new_field", "change_kind"]).astype({"topic_partition": "Int32"})
+
+    return full.groupBy("part", "at").applyInPandas(run, CHANGE_SCHEMA)
+
+
+class Aliases(dict):
+    """Wanted field -> the last keys it bears in any partition, its own first; ``of`` has those of one partition."""
+
+    def __init__(self, names: dict[str, list[str]], by_part: dict[int, dict[str, list[str]]]):
+        super().__init__(names)
+        self.by_part = by_part
 
-    return profile.groupBy("part").applyInPandas(run, CHANGE_SCHEMA)
+    def of(self, part: int | None) -> dict[str, list[str]]:
+        return self.by_part.get(NO_PARTITION if part is None else part, self)
 
 
-def field_aliases(profile: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
-    """For each wanted field, the names (last keys) it bears in any partition and version; its own name first.
+def _chain(wanted: list[str], renames: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Last keys of each wanted field along the rename chains; a field follows the names of its parent."""
+    names: dict[str, list[str]] = {}
+    for w in sorted(wanted, key=lambda w: w.count(".")):
+        above = _parent(w)[:-1]
+        parents = {_parent(w)} | {_parent(above) + k + "." for k in names.get(above, [])}
+        names[w] = [w[len(_parent(w)) :]]
+        for k in names[w]:  # grows
+            for a, b in renames:
+                for x, y in ((a, b), (b, a)):
+                    if _parent(x) in parents and x[len(_parent(x)) :] == k and y[len(_parent(y)) :] not in names[w]:
+                        names[w].append(y[len(_parent(y)) :])
+    return {w: names[w] for w in wanted}
+
+
+def field_aliases(profile: DataFrame, wanted: list[str]) -> Aliases:
+    """For each wanted field, the names (last keys) it bears, per partition; its own name first.
 
-    Names come from the rename chains of every partition; a partition that never had the wanted name in its
-    lowest version is matched against those that had. What reaches the driver is one row per distinct rename
-    and one schema profile per group, whatever the number of messages.
+    A partition's names come from its own rename chains. In a partition that never had the wanted name the names of
+    the other partitions count, and if it has none of those, the field that matches best in a pooled profile of the
+    partitions that have one. What reaches the driver is a row per partition, wanted field and name.
     """
-    chains = [tuple(r) for r in field_changes(profile).where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]
-    names = {w: [w] for w in wanted}
+    parents = sorted({_parent(w) for w in wanted})
+    tops = profile.where(F.col("parent").isin(parents)).groupBy("part", "path", "parent").agg(F.sum("n").alias("n"), F.bit_or("types").alias("types"))
+    present: dict[int, set[str]] = {}
+    renames: dict[int, list[tuple[str, str]]] = {}
+    found = [tuple(r) for r in field_changes(profile).where("change_kind = 'renamed'").select("topic_partition", "old_field", "new_field").distinct().collect()]
+    for part, a, b in sorted(found, key=str):
+        renames.setdefault(NO_PARTITION if part is None else part, []).append((a, b))
+    pooled = _chain(wanted, sorted({(a, b) for r in renames.values() for a, b in r}))
+    bases = {w: {_parent(w) + k for k in pooled[w]} for w in wanted}
+    rows = tops.where(F.col("path").isin(sorted(set().union(*bases.values())))).select("part", "path")
+    for part, path in rows.union(profile.select("part", F.lit("")).distinct()).collect():
+        present.setdefault(part, set()).add(path)
+    lacking = {w: [p for p, has in sorted(present.items()) if not has & bases[w]] for w in wanted}
+    having = {w: [p for p, has in sorted(present.items()) if has & bases[w]] for w in wanted}
+    by_part = {p: _chain(wanted, renames.get(p, [])) for p in present}
+    for p, has in present.items():
+        for w in wanted:
+            if w not in has:
+                by_part[p][w] += [k for k in pooled[w] if k not in by_part[p][w]]
     for w in wanted:
-        parent = _parent(w)
-        grown = True
-        while grown:
-            grown = False
-            for a, b in chains:
-                for x, y in ((a, b), (b, a)):
-                    if x in names[w] and y not in names[w] and _parent(y) == parent:
-                        names[w].append(y)
-                        grown = True
-    has = profile.where("bin = -1").groupBy("part").agg(*[F.max(F.col("path").isin(names[w]).cast("int")).alias(f"w{i}") for i, w in enumerate(wanted)])
-    lacks = has.agg(*[F.min(f"w{i}").alias(f"w{i}") for i in range(len(wanted))]).first()
-    for i, w in enumerate(wanted):
-        if lacks is None or lacks[i] is None or lacks[i] == 1:
+        if not lacking[w] or not having[w]:
             continue
-        sides = {}
-        for flag in (0, 1):
-            some = profile.join(has.where(F.col(f"w{i}") == flag).select("part"), "part", "left_semi").where(F.col("parent") == _parent(w))
-            rows = some.groupBy("path", "parent", "bin").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.bit_or("types").alias("types")).toPandas()
-            sides[flag] = _schemas(rows.assign(version="")).get("", {})
-        old = {p: f for p, f in sides[1].items() if p in names[w] or p not in sides[0]}
-        new = {p: f for p, f in sides[0].items() if p not in sides[1]}
-        names[w] += [b for a, b in match_schemas(old, new) if a in names[w] and b not in names[w]] if old and new else []
-    return {w: [n[len(_parent(w)) :] for n in ns] for w, ns in names.items()}
+        for p, k in _best_match(profile, _parent(w), having[w], lacking[w], bases[w]):
+            by_part[p][w].append(k)
+            if k not in pooled[w]:
+                pooled[w].append(k)
+    return Aliases(pooled, by_part)
+
+
+def _best_match(profile: DataFrame, parent: str, having: list[int], lacking: list[int], bases: set[str]) -> list[tuple[int, str]]:
+    """(partition, key) of the field inside ``parent`` that corresponds to one of ``bases``, for the partitions that have none."""
+    level = profile.where(F.col("parent") == parent)
+
+    def schemas(parts: list[int], pool: bool) -> DataFrame:
+        rows = level.where(F.col("part").isin(parts)).withColumn("part", F.lit(0) if pool else F.col("part"))
+        flat = rows.select("part", "path", F.inline(F.arrays_zip(F.col("bins").alias("bin"), F.col("ws").alias("w")))).groupBy("part", "path", "bin").agg(F.sum("w").alias("w"))
+        packed = flat.groupBy("part", "path").agg(F.collect_list(F.struct("bin", "w")).alias("h"))
+        fields = rows.groupBy("part", "path", "parent").agg(F.sum("n").alias("n"), F.bit_or("types").alias("types"))
+        return fields.join(packed, ["part", "path"], "left").select("part", "path", "parent", "n", "types", F.col("h.bin").alias("bins"), F.col("h.w").alias("ws"))
+
+    known = _fields(schemas(having, True).toPandas())  # one schema level
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        old, new = dict(known), _fields(pdf)
+        above = _object(parent)
+        if above:  # the level hangs on a shared object
+            steps = above.split(".")
+            for i in range(len(steps)):
+                p = ".".join(steps[: i + 1])
+                old[p] = new[p] = Field(_parent(p), 1, BIT["object"])
+        rows = [(key[0], b[len(parent) :]) for a, b in match_schemas(old, new) if a in bases]
+        return pd.DataFrame(rows, columns=["part", "name"])
+
+    return [tuple(r) for r in schemas(lacking, False).groupBy("part").applyInPandas(run, "part int, name string").collect()]
 
 
 def _parent(path: str) -> str:
@@ -442,11 +630,11 @@ def consistent_table(messages: DataFrame, key: str = "record_id", part: str = "t
     and whose texts all are numbers too, is a double; other plain values are text; arrays are JSON text with canonical
     names inside. No value is lost to a cast. Messages that are no JSON object have no row.
     """
-    profile = cut(profile_fields(messages, part, message))
+    profile = profile_fields(messages, part, message)
     renames = [tuple(r) for r in field_changes(profile).where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]
     canon = Canon(renames)
     types: dict[str, int] = {}
-    for r in profile.where("bin = -1").groupBy("path").agg(F.bit_or("types").alias("types")).collect():
+    for r in profile.groupBy("path").agg(F.bit_or("types").alias("types")).collect():
         if "[]" not in r["path"]:
             p = canon.path(r["path"])
             types[p] = types.get(p, 0) | r["types"]

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, message_digest, new_messages, repeated, with_digest
-from pkgloom.operators.drift import compare_schemas, consistent_table, field_aliases, field_changes, name_similarity, profile_fields, version_key
+from pkgloom.operators.drift import Field, Propagation, _version_order, compare_schemas, consistent_table, field_aliases, field_changes, match_schemas, name_similarity, profile_fields, version_key, version_of
+from pkgloom.operators.jsonio import BIT
 from pkgloom.operators.hierarchy import hierarchies, parse_coordinate
 from pkgloom.operators.jsonio import canonical_number
 from pkgloom.operators.nested import flatten, flatten_chain, stages_and_lines
@@ -98,6 +99,68 @@ def test_names():
     assert compare_schemas({}, {}) == []
 
 
+def _schema(spec: dict) -> dict[str, Field]:
+    """path -> histogram of a plain field, or 'object' / 'array' of objects."""
+    out = {}
+    for path, v in spec.items():
+        parent = path[: path.rfind(".") + 1]
+        out[path] = Field(parent, 10, BIT[v] if isinstance(v, str) else BIT["string"], {} if isinstance(v, str) else v)
+    return out
+
+
+def test_flooding_outvotes_names_and_single_values():
+    """'maker' goes on as 'producer'; 'makers' is new and only sounds alike."""
+    old = _schema({"maker": "object", "maker.login": {1: 5.0, 2: 5.0}, "maker.since": {3: 9.0}, "maker.site": {4: 4.0}, "id": {}})
+    new = _schema({"makers": "object", "makers.count": {7: 5.0}, "makers.limit": {8: 2.0}, "producer": "object", "producer.login": {1: 5.0, 2: 4.0}, "producer.since": {3: 9.0}, "producer.page": {4: 4.0}, "id": {}})
+    assert match_schemas(old, new) == [("maker", "producer")]
+    assert match_schemas(old, new, rounds=0) == [("maker", "makers")]
+    assert sorted(compare_schemas(old, new)) == [("", "makers", "added"), ("maker", "producer", "renamed")]
+
+
+def test_flooding_by_values_alone():
+    old = _schema({"p": "object", "p.repository": {5: 8.0, 6: 2.0}, "p.gone": {9: 4.0}})
+    new = _schema({"p": "object", "p.resolvedFrom": {5: 7.0, 6: 2.0}, "p.goner": {11: 4.0}})
+    assert match_schemas(old, new) == [("p.repository", "p.resolvedFrom")]
+    assert match_schemas(old, new, rounds=0) == [("p.gone", "p.goner")]
+
+
+def test_flooding_converges_to_one_point():
+    rng = random.Random(5)
+    old = _schema({f"a{i}": {rng.randrange(20): rng.random() + 0.1 for _ in range(6)} for i in range(12)} | {"o": "object"} | {f"o.x{i}": {i: 1.0} for i in range(4)})
+    new = _schema({f"b{i}": {rng.randrange(20): rng.random() + 0.1 for _ in range(6)} for i in range(12)} | {"q": "array"} | {f"q[].y{i}": {i: 1.0} for i in range(4)})
+    graph = Propagation(old, new)
+    far, further = graph.scores(400, 0.0), graph.scores(500, 0.0)
+    assert abs(far - further).max() < 1e-12 and abs(graph.scores() - far).max() < 1e-4 and 0 <= far.min() and far.max() <= 1
+    assert abs(graph.scores(1) - far).max() > 0.01
+
+
+def test_version_needs_a_name_like_it():
+    assert version_of({"ip": "10.0.0.1"}) is None
+    assert version_of({"ip": "10.0.0.1", "version": "1.2.3"}) == ("version", "1.2.3")
+
+
+def test_version_columns_sort_as_the_key(spark):
+    versions = ["0.9.0-rc1", "0.9.0", "0.9.1", "0.10.0", "1.0", "1.0.0", "01.0", "2.0+b", "2.0", "2.0-alpha2", "2.0-alpha10", "123456789012345678901234567890.1", "v", "3.1.a"]
+    rng = random.Random(3)
+    rng.shuffle(versions)
+    df = spark.createDataFrame([(v,) for v in versions], "version string")
+    assert [r[0] for r in df.orderBy(*_version_order(F.col("version"))).collect()] == sorted(versions, key=version_key)
+
+
+def test_aliases_of_a_partition(spark):
+    """'when' is the time in partition 0, something else in partition 1; partition 2 never had the first name."""
+
+    def m(version, n, **keys):
+        return json.dumps({"plugin_version": version, "note": f"n{n}", **keys})
+
+    rows = [(0, m("1.0", n, made=f"2020-01-{n % 28 + 1:02d}")) for n in range(30)] + [(0, m("1.1", n, when=f"2020-01-{n % 28 + 1:02d}")) for n in range(30)]
+    rows += [(1, m("1.0", n, made=f"2020-01-{n % 28 + 1:02d}", when="late" if n % 2 else "early")) for n in range(30)]
+    rows += [(2, m("1.0", n, day=f"2020-01-{n % 28 + 1:02d}", other="x y")) for n in range(30)]
+    names = field_aliases(profile_fields(spark.createDataFrame(rows, "topic_partition int, message string")), ["made"])
+    assert names.of(0)["made"] == ["made", "when"] and names.of(1)["made"] == ["made"]
+    assert names.of(2)["made"] == ["made", "when", "day"] and names.of(99)["made"] == names["made"]
+
+
 # ---- dedup
 
 
