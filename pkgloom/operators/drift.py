@@ -21,12 +21,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from math import sqrt
-from typing import Any
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -457,12 +456,17 @@ def _histograms(profile: DataFrame, fields: DataFrame) -> DataFrame:
     return packed.select("part", "version", "path", F.col("h.bin").alias("bins"), F.col("h.w").alias("ws"))
 
 
-def _fields(pdf: pd.DataFrame) -> dict[str, Field]:
-    out = {}
-    for path, parent, n, types, bins, ws in zip(*(pdf[c].tolist() for c in ("path", "parent", "n", "types", "bins", "ws"))):
-        hist = {} if bins is None else dict(zip(np.asarray(bins).tolist(), np.asarray(ws).tolist()))
-        out[path] = Field(parent, n, types, hist)
-    return out
+_SIDE = ("path", "parent", "n", "types", "bins", "ws")
+
+
+def _field(parent: str, n: int, types: int, bins, ws) -> Field:
+    return Field(parent, n, types, dict(zip(bins, ws)) if bins is not None else None)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) of sorted batches; the key is the first columns."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    return groupby(rows, key=lambda r: r[:keys])
 
 
 def field_changes(profile: DataFrame) -> DataFrame:
@@ -471,18 +475,22 @@ def field_changes(profile: DataFrame) -> DataFrame:
     A group is a pair of neighbouring versions: two schemas, whatever the number of messages. Histograms are read only
     for fields that stand in one of the two.
     """
-    pairs = version_pairs(profile)
+    pairs, _ = Scratch(profile.sparkSession).write(version_pairs(profile))
     sided = pairs.groupBy("part", "at", "path").agg(F.count(F.lit(1)).alias("sides"), F.max("version").alias("version"))
     lone = sided.where("sides = 1").select("part", "version", "path")
-    full = pairs.join(_histograms(profile, lone), ["part", "version", "path"], "left")
+    full = pairs.join(_histograms(profile, lone), ["part", "version", "path"], "left").select("part", "at", "role", *_SIDE)
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = (_fields(pdf[pdf["role"] == r]) for r in ("old", "new"))
-        part = None if key[0] == NO_PARTITION else key[0]
-        rows = [(part, key[1], a, b, k) for a, b, k in compare_schemas(old, new)]
-        return pd.DataFrame(rows, columns=["topic_partition", "plugin_version", "old_field", "new_field", "change_kind"]).astype({"topic_partition": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for (part, at), group in _groups(batches, 2):
+            sides: dict[str, dict[str, Field]] = {"old": {}, "new": {}}
+            for _, _, role, path, *rest in group:
+                sides[role][path] = _field(*rest)
+            rows += [(None if part == NO_PARTITION else part, at, a, b, k) for a, b, k in compare_schemas(sides["old"], sides["new"])]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.string()) for i, c in enumerate(cols)], names=["topic_partition", "plugin_version", "old_field", "new_field", "change_kind"])
 
-    return full.groupBy("part", "at").applyInPandas(run, CHANGE_SCHEMA)
+    return full.repartition("part", "at").sortWithinPartitions("part", "at").mapInArrow(run, CHANGE_SCHEMA)
 
 
 class Aliases(dict):
@@ -558,20 +566,20 @@ def _best_match(profile: DataFrame, parent: str, having: list[int], lacking: lis
         fields = rows.groupBy("part", "path", "parent").agg(F.sum("n").alias("n"), F.bit_or("types").alias("types"))
         return fields.join(packed, ["part", "path"], "left").select("part", "path", "parent", "n", "types", F.col("h.bin").alias("bins"), F.col("h.w").alias("ws"))
 
-    known = _fields(schemas(having, True).toPandas())  # one schema level
+    known = {r["path"]: _field(*(r[c] for c in _SIDE[1:])) for r in schemas(having, True).collect()}  # one level of a schema
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = dict(known), _fields(pdf)
-        above = _object(parent)
-        if above:  # the level hangs on a shared object
-            steps = above.split(".")
-            for i in range(len(steps)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for (part,), group in _groups(batches, 1):
+            old, new = dict(known), {path: _field(*rest) for _, path, *rest in group}
+            steps = _object(parent).split(".") if parent else []
+            for i in range(len(steps)):  # the level hangs on shared objects
                 p = ".".join(steps[: i + 1])
                 old[p] = new[p] = Field(_parent(p), 1, BIT["object"])
-        rows = [(key[0], b[len(parent) :]) for a, b in match_schemas(old, new) if a in bases]
-        return pd.DataFrame(rows, columns=["part", "name"])
+            found += [(part, b[len(parent) :]) for a, b in match_schemas(old, new) if a in bases]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], names=["part", "name"])
 
-    return [tuple(r) for r in schemas(lacking, False).groupBy("part").applyInPandas(run, "part int, name string").collect()]
+    return [tuple(r) for r in schemas(lacking, False).repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, name string").collect()]
 
 
 def _parent(path: str) -> str:
