@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, repeated, with_digest
 from pkgloom.operators.drift import consistent_table, field_changes, profile_fields
-from pkgloom.operators.hierarchy import coordinate_links, hierarchies
+from pkgloom.operators.hierarchy import coordinate_links, coordinate_names, descendants, further_parents, hierarchies, place
 from pkgloom.operators.nested import stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys
 from pkgloom.plans.registry import micros
@@ -70,7 +70,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchies(coordinate_links(table(spark, sf_dir, "pom_messages")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_kept, p3_found, p3_per_package, p4_found, p5_found, p6_found)}
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of the coordinates of the messages whose record_id is divisible by 50."""
+    messages = table(spark, sf_dir, "pom_messages")
+    names = coordinate_names(messages)
+    out = descendants(place(coordinate_links(messages, names)), coordinate_links(messages.where("record_id % 50 = 0"), names))
+    return out.withColumnsRenamed({"node": "coordinate"})
+
+
+def p6_further_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents that a coordinate names beside the one that counts."""
+    return further_parents(coordinate_links(table(spark, sf_dir, "pom_messages")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_kept, p3_found, p3_per_package, p4_found, p5_found, p6_found, p6_descendants, p6_further_parents)}
 
 _COUNTED = """
     (SELECT package_id, count(*) AS n_versions, min(epoch_us(created_at)) AS first_us, max(epoch_us(created_at)) AS last_us

@@ -16,7 +16,7 @@ from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, message_digest, new_messages, repeated, with_digest
 from pkgloom.operators.drift import Field, Propagation, _version_order, compare_schemas, consistent_table, field_aliases, field_changes, match_schemas, name_similarity, profile_fields, version_key, version_of
 from pkgloom.operators.jsonio import BIT
-from pkgloom.operators.hierarchy import hierarchies, parse_coordinate
+from pkgloom.operators.hierarchy import descendants, further_parents, hierarchies, parse_coordinate, place
 from pkgloom.operators.jsonio import canonical_number
 from pkgloom.operators.nested import flatten, flatten_chain, stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys
@@ -353,6 +353,21 @@ def test_hierarchies(spark, seed):
     df = spark.createDataFrame(links, "node string, parent string").withColumn("id", F.lit(1))
     rows = [tuple(r) for r in hierarchies(df, chunk=[8, 64, 8192, 3][seed], buckets=[64, 4, 1, 16][seed]).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_hierarchy(links)
+    chosen = spark.createDataFrame([("star",), ("d3",), ("c2",), ("h4",), ("self",), ("nowhere",), (None,), ("r0",), ("star",), ("b",)], "node string")
+    pairs = [tuple(r) for r in descendants(place(df), chosen, chunk=[8, 64, 8192, 3][seed]).collect()]
+    parent = {a: min(b for x, b in links if x == a and b is not None) for a in {a for a, b in links if a is not None and b is not None}}
+    want = set()
+    for n in {a for a, _ in links if a} | {b for _, b in links if b}:
+        x, seen = n, {n}
+        while x in parent:
+            x = parent[x]
+            if x in seen:
+                break
+            want.add((x, n))
+            seen.add(x)
+    wanted = {r[0] for r in chosen.collect()}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {p for p in want if p[0] in wanted}
+    assert [tuple(r) for r in further_parents(df).where("node = 'a'").collect()] == [("a", "b", "c")]
 
 
 def test_no_hierarchy(spark):
