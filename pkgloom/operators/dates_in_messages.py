@@ -15,11 +15,9 @@ from pkgloom.operators.timestamps import utc_micros
 SCHEMA = "record_key long, feed_id int, field_name string, item_no int, value string"
 
 
-def unwrap(v):
-    """A statement may stand in a list of one element."""
-    if isinstance(v, list) and len(v) == 1:
-        v = v[0]
-    return v if isinstance(v, dict) else None
+def unwrap(v) -> list[dict]:
+    """The statements in a parsed value: itself, or the objects of a list."""
+    return [x for x in as_list(v) if isinstance(x, dict)]
 
 
 def as_list(v) -> list:
@@ -49,17 +47,18 @@ def _rows(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
 
 
 def statement_dates(vulnerabilities: DataFrame) -> DataFrame:
-    """published_date, last_modified_date and patches.patch_date of each statement, item_no the patch's place."""
+    """published_date, last_modified_date and patches.patch_date of each statement, item_no the patch's place in its list.
+
+    A value that is a list of several statements has the dates of each.
+    """
 
     def found(text: str | None):
-        s = unwrap(parse_value(text))
-        if s is None:
-            return
-        for k in ("published_date", "last_modified_date"):
-            yield k, 0, s.get(k)
-        for i, patch in enumerate(as_list(s.get("patches"))):
-            if isinstance(patch, dict):
-                yield "patch_date", i, patch.get("patch_date")
+        for s in unwrap(parse_value(text)):
+            for k in ("published_date", "last_modified_date"):
+                yield k, 0, s.get(k)
+            for i, patch in enumerate(as_list(s.get("patches"))):
+                if isinstance(patch, dict):
+                    yield "patch_date", i, patch.get("patch_date")
 
     return vulnerabilities.select("id", "feed_id", "statement").mapInArrow(lambda b: _rows(b, found), SCHEMA)
 

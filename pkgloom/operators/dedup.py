@@ -35,8 +35,8 @@ def message_digest(text: str | None, names: list[list[str]]) -> bytes | None:
     return blake2b("".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def with_digest(messages: DataFrame, order: str = "record_id", message: str = "message", identity: tuple[str, ...] = IDENTITY, part: str = "topic_partition") -> DataFrame:
-    """(order, digest) of every message that is a JSON object; renamed keys are found by field_aliases."""
+def with_digest(messages: DataFrame, order: str = "record_id", message: str = "message", identity: tuple[str, ...] = IDENTITY, part: str = "topic_partition", carry: str | None = None) -> DataFrame:
+    """(ord, digest) of every message that is a JSON object, and a text column ``carry``; renamed keys are found by field_aliases."""
     aliases = field_aliases(profile_fields(messages, part, message, within={""}), list(identity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,10 +47,11 @@ def with_digest(messages: DataFrame, order: str = "record_id", message: str = "m
                 names[p] = [aliases.of(p)[k] for k in identity]
             digests = [message_digest(t, names[p]) for t, p in zip(batch.column(1).to_pylist(), parts)]
             keep = pa.array([d is not None for d in digests])
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["ord", "digest"])
-            yield out.filter(keep)
+            columns = {"ord": batch.column(0), "digest": pa.array(digests, pa.binary())} | ({carry: batch.column(3)} if carry else {})
+            yield pa.RecordBatch.from_pydict(columns).filter(keep)
 
-    return messages.select(F.col(order).cast("long").alias("ord"), F.col(message).cast("string").alias("m"), F.col(part).cast("int").alias("p")).mapInArrow(run, "ord long, digest binary")
+    wanted = [F.col(order).cast("long").alias("ord"), F.col(message).cast("string").alias("m"), F.col(part).cast("int").alias("p")] + ([F.col(carry).cast("string")] if carry else [])
+    return messages.select(*wanted).mapInArrow(run, "ord long, digest binary" + (f", `{carry}` string" if carry else ""))
 
 
 def repeated(digests: DataFrame) -> DataFrame:

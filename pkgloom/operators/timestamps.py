@@ -19,6 +19,7 @@ ABBREVIATIONS = {
     "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360,
     "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+NUMBERS = (631_152_000, 4_102_444_800)  # 1990 to 2100
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 _MON = "(?<{0}>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\\.?"
@@ -62,12 +63,15 @@ def _in_zone(local: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
 
 
-def utc_micros(df: DataFrame, value: str, zone: str, order: str) -> DataFrame:
+def utc_micros(df: DataFrame, value: str, zone: str, order: str, default_zone: str | None = "UTC", numbers: tuple[int, int] = NUMBERS, leap_seconds: bool = False) -> DataFrame:
     """``df`` with utc_us: the instant that ``value`` names, or null if it names no date.
 
-    value: text, numbers as text. zone: the zone of a time without one (null or unknown: UTC). order: 'dmy', 'mdy'
-    or 'ymd' for dates with slashes; where the digits contradict it, or it is null, the number with four digits
-    is the year and the rest reads 'dmy'.
+    value: text, numbers as text. zone: the zone of a time without one; where it is null or unknown default_zone counts
+    (None: such a time is null). A zone that the value itself names and that is unknown gives null.
+    order: 'dmy', 'mdy' or 'ymd' for dates with slashes; where the digits contradict it, or it is null, the number with
+    four digits is the year and the rest reads 'dmy'.
+    numbers: the seconds between which an instant written as a number must lie; beyond them sizes would be ambiguous.
+    leap_seconds: whether second 60 is read as the first of the next minute; else such a time is null.
     A local time that occurs twice is the earlier instant; a skipped one is moved ahead by the gap. A date alone
     is its midnight. Numbers are seconds, milli- or microseconds by their size; eight digits are year, month, day.
     Null, empty and blank values, texts of another form and impossible dates or times give null.
@@ -105,7 +109,7 @@ def utc_micros(df: DataFrame, value: str, zone: str, order: str) -> DataFrame:
     y, m, d = c("__ts_yy"), c("__ts_mm"), c("__ts_dd")
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = y.between(1, 9999) & m.between(1, 12) & d.between(1, last) & c("__ts_hh").between(0, 23) & c("__ts_ii").between(0, 59) & c("__ts_ss").between(0, 59)
+    valid = y.between(1, 9999) & m.between(1, 12) & d.between(1, last) & c("__ts_hh").between(0, 23) & c("__ts_ii").between(0, 59) & c("__ts_ss").between(0, 60 if leap_seconds else 59)
     local = ((days_from_civil(y, m, d) * 24 + c("__ts_hh")) * 60 + c("__ts_ii")) * 60_000_000 + c("__ts_ss") * 1_000_000 + c("__ts_us")
 
     digits = F.regexp_replace(F.substring("__ts_off", 2, 6), ":", "")
@@ -122,10 +126,11 @@ def utc_micros(df: DataFrame, value: str, zone: str, order: str) -> DataFrame:
             "__ts_fixed": c("__ts_z").isNotNull() & ~region,
         }
     )
-    local_zone = F.coalesce(known[F.coalesce(named, F.lower(F.trim(c(zone))))], F.lit("UTC"))  # looked up only where no offset is given
+    # looked up only where no offset is given
+    local_zone = F.when(named.isNotNull(), known[named]).otherwise(F.coalesce(known[F.lower(F.trim(c(zone)))], F.lit(default_zone).cast("string")))
     size = F.abs("__ts_number")
-    # by size: instants between 1990 and 2100
-    unit = F.when(size.between(631_152_000, 4_102_444_800), 1_000_000).when(size.between(631_152_000_000, 4_102_444_800_000), 1_000).when(size.between(631_152_000_000_000, 4_102_444_800_000_000), 1)
+    low, high = numbers
+    unit = F.when(size.between(low, high), 1_000_000).when(size.between(low * 1_000, high * 1_000), 1_000).when(size.between(low * 1_000_000, high * 1_000_000), 1)
     counted = F.when(c("__ts_number") > 0, F.floor(c("__ts_number") * unit).cast("long"))
     dated = F.when(F.coalesce("__ts_fixed", F.lit(False)), c("__ts_local") - c("__ts_shift") * 60_000_000).otherwise(_in_zone(c("__ts_local"), local_zone))
     return _once(df, {"utc_us": F.coalesce(counted, dated)}).drop(*[x for x in df.columns if x.startswith("__ts_")])

@@ -18,7 +18,7 @@ from pkgloom.operators.drift import Field, Propagation, _version_order, compare_
 from pkgloom.operators.jsonio import BIT
 from pkgloom.operators.hierarchy import descendants, further_parents, hierarchies, parse_coordinate, place
 from pkgloom.operators.jsonio import canonical_number
-from pkgloom.operators.nested import flatten, flatten_chain, stages_and_lines
+from pkgloom.operators.nested import flatten, flatten_chain, merged_schema, scalar_text, stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys
 from pkgloom.operators.timestamps import utc_micros
 
@@ -261,6 +261,15 @@ def test_utc_micros(spark):
     assert {CASES[i][0]: got[i] for i in got} == {v: u for v, _, _, u in CASES}
 
 
+def test_zones_and_bounds_are_parameters(spark):
+    rows = [("2019-01-24T10:00:00 Mars/Base", "UTC"), ("2019-01-24T10:00:00[Mars/Base]", "UTC"), ("2019-01-24T10:00:00", "Mars/Base"), ("2019-01-24T10:00:00", None), ("100000000", "UTC"), ("2016-12-31T23:59:60Z", "UTC"), ("2016-12-31T23:59:61Z", "UTC")]
+    df = spark.createDataFrame([(i, v, z) for i, (v, z) in enumerate(rows)], "i int, value string, zone string").withColumn("o", F.lit(None).cast("string"))
+    noon = _us("2019-01-24T10:00:00")
+    assert [r["utc_us"] for r in utc_micros(df, "value", "zone", "o").orderBy("i").collect()] == [None, None, noon, noon, None, None, None]
+    other = utc_micros(df, "value", "zone", "o", default_zone=None, numbers=(90_000_000, 4_102_444_800), leap_seconds=True)
+    assert [r["utc_us"] for r in other.orderBy("i").collect()] == [None, None, None, None, 100_000_000_000_000, _us("2017-01-01T00:00:00"), None]
+
+
 def test_days(spark):
     rng = random.Random(3)
     days = [datetime(rng.randint(1, 9999), rng.randint(1, 12), rng.randint(1, 28), tzinfo=timezone.utc) for _ in range(300)]
@@ -306,6 +315,58 @@ def test_links_are_whole(spark):
     assert sorted((r["table_name"], r["child_no"], r["plain"]) for r in rows if r["table_name"] == "a.b.c") == [("a.b.c", 0, "1"), ("a.b.c", 0, "3"), ("a.b.c", 1, "2")]
 
 
+def _leaves(v) -> list[str]:
+    """Every plain value in a parsed value, as text."""
+    if isinstance(v, dict):
+        return [x for y in v.values() for x in _leaves(y)]
+    if isinstance(v, list):
+        return [x for y in v for x in _leaves(y)]
+    t = scalar_text(v)
+    return [] if t is None else [t]
+
+
+SHAPES = [
+    {"a": [[{"x": 1}, {"x": 2}], [3]]},
+    {"a.b": 1, "a": {"b": 2}},
+    {"a": [{"b": [[["deep"]], None, []]}, "bare", {"b": "only"}]},
+    {"x": {"k": [1]}, "y": {"k": [2]}, "k": [3], "x.k": [4]},
+    {"a": [], "b": {}, "": [5, {"": [6]}], "/:[": {"\\\\": 7}},
+    {"a:0/b": [1], "a": [{"b": [2]}]},
+    {"a": {"q": "an object where others have a list"}},
+]
+
+
+def test_no_shape_loses_a_value(spark):
+    rows = [(i, json.dumps(s)) for i, s in enumerate(SHAPES)] + [(100, json.dumps([*SHAPES, None, 7])), (101, "[]"), (102, json.dumps([[{"lost": "no object"}]]))]
+    df = spark.createDataFrame(rows, "id long, statement string")
+    got: dict = {}
+    ids = []
+    for r in flatten(df, "id", "statement").collect():
+        got.setdefault(r["record_key"], []).extend([r["plain"]] * (r["plain"] is not None) + list((r["fields"] or {}).values()))
+        ids.append((r["row_id"], r["parent_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {**{i: sorted(_leaves(s)) for i, s in enumerate(SHAPES)}, 100: sorted(_leaves(SHAPES))}
+    assert len({i for i, _ in ids}) == len(ids) and {p for _, p in ids if p is not None} <= {i for i, _ in ids}
+    chains = [(1, json.dumps({"plugin_name": "C", "deps": [[{"n": 1}], "x"], "input": {"deps": [2], "input": json.dumps({"p": {"deps": ["y"]}, "input": ["end"]})}})), (2, json.dumps({"input": "text"}))]
+    flat = flatten_chain(spark.createDataFrame(chains, "record_id long, message string"), "record_id", "message", whole=True).collect()
+    values = sorted(x for r in flat for x in [r["plain"]] * (r["plain"] is not None) + list((r["fields"] or {}).values()))
+    assert values == sorted(["C", "1", "x", "2", "y", "end", "text"])
+    assert {r["table_name"] for r in flat} == {"input", "input.deps", "input.deps[]", "input.p.deps", "input.input"}
+
+
+def test_merged_schema(spark):
+    df = spark.createDataFrame([(1, '{"a":[{"b":1},null,"x"],"c.d":null}'), (2, '[{"a":{"b":"t"}},{"a":[[true]]}]'), (3, None), (4, "{")], "id long, statement string")
+    got = {tuple(r) for r in merged_schema(df, "statement").collect()}
+    assert got == {("a", "array", 2), ("a", "object", 1), ("a[]", "object", 1), ("a[]", "null", 1), ("a[]", "string", 1), ("a[]", "array", 1), ("a[][]", "boolean", 1), ("a.b", "number", 1), ("a.b", "string", 1), ("c\\.d", "null", 1)}
+
+
+def test_dates_of_several_statements(spark):
+    v = spark.createDataFrame([(1, None, '[{"published_date":"2019-01-24"},{"published_date":"2019-01-25","patches":[{"patch_date":"2020-01-01"}]},3]')], "id long, feed_id int, statement string")
+    m = spark.createDataFrame([], "record_id long, topic_partition int, feed_id int, message string")
+    f = spark.createDataFrame([], "feed_id int, zone_id string, date_order string")
+    got = sorted((r["field_name"], r["utc_us"]) for r in dated_values(v, m, f).collect())
+    assert got == [("patch_date", _us("2020-01-01T00:00:00")), ("published_date", _us("2019-01-24T00:00:00")), ("published_date", _us("2019-01-25T00:00:00"))]
+
+
 # ---- hierarchy
 
 
