@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +77,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path), path
 
+    def counted(self, df: DataFrame, condition: str = "true") -> tuple[DataFrame, str, int]:
+        """As ``write``, with the number of rows that meet ``condition``, counted while they are written."""
+        seen = Observation()
+        table, path = self.write(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+        return table, path, seen.get["n"]
+
     def drop(self, path: str) -> None:
         self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
