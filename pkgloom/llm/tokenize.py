@@ -1,11 +1,16 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, by a tokenization automaton.
 
-The merges are compiled in rank order. The gadget of a merge (u, v) -> w adds the arc w and cuts every path on which
-v follows u, so that in the finished automaton exactly one path spells each word: its tokens. An arc t -> t' stands
-if and only if no gadget cuts it, which depends on the right edge of t and the left edge of t' alone; the state after
-an arc is therefore its label. Arcs out of a state are resolved from the gadget tables when first used and kept in a
-transition table, since all 50,000 x 50,000 of them would not fit in memory. A word is encoded by following the
-longest arcs of a byte trie that the table allows, with marked dead ends, in time linear in its length.
+The merges are compiled once, in rank order, by successive gadgets. The states are the labels: after an arc the
+automaton is in the state of its label. The gadget of a merge (u, v) -> w cuts the arc v out of the state u and adds the
+state w, which begins as the state v is at that moment: w ends as v does, and later gadgets of v no longer reach into it.
+What is compiled is a table for each state: the left edges that are cut there, each with the rank that cut it. An arc t
+leaves a state unless a left edge of t is cut there while t's own merges still show it. States that no gadget tells
+apart share one table.
+
+Exactly one path spells each word, and each prefix of it, so every place in a word has one state. A word is encoded in
+one pass over its bytes: from the state of each place the arcs that leave it are followed along a byte trie of the
+labels and settle the states of later places. Nothing is taken back, and the work for a byte is bounded by the longest
+label. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -21,8 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 250_000  # bounds of a worker's memory, not of the result
-TABLE_ARCS = 1_000_000
+CACHE_WORDS, CACHE_CHARS = 250_000, 200  # bounds of a worker's memory, not of the result
 
 # The public pattern that splits text before the merges, and the same for pure ASCII.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -51,108 +55,67 @@ def read_merges(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TokenizationAutomaton:
-    """The compiled merges: gadget tables, byte trie of the arc labels, transition table."""
+    """The compiled merges: a table of cut left edges for each state, and the byte trie of the arc labels."""
 
     def __init__(self, single: np.ndarray, merges: np.ndarray):
         self.bytes_of: dict[int, bytes] = {int(t): bytes([b]) for b, t in enumerate(single)}
-        size = int(max(single.max(), merges.max() if len(merges) else 0)) + 1
-        self.rank = [-1] * size  # of the merge that builds a label; -1 for single bytes
-        self.left, self.right = [-1] * size, [-1] * size  # its two parts
-        self.gadget: dict[int, int] = {}  # u << 32 | v -> rank
+        cut: dict[int, dict[int, int]] = {t: {} for t in self.bytes_of}  # state -> left edge -> rank of the gadget
+        edges: dict[int, tuple[tuple[int, int], ...]] = {t: ((t, len(merges)),) for t in self.bytes_of}  # label -> its left edges, each with the rank until which it shows
+        dead: set[int] = set()  # labels that the gadgets never build from their own bytes
         for r, (u, v, w) in enumerate(merges.tolist()):
-            self.gadget.setdefault(u << 32 | v, r)
             if w not in self.bytes_of:
-                self.rank[w], self.left[w], self.right[w], self.bytes_of[w] = r, u, v, self.bytes_of[u] + self.bytes_of[v]
-        self.root: dict = {}  # trie: byte -> next state; under -1 the label of the arc spelled so far
-        self.shorter: dict[int, int] = {}  # the longest arc that spells a proper prefix, or -1
-        for t, b in self.bytes_of.items():
-            state = self.root
-            for x in b:
-                state = state.setdefault(x, {})
-            state[-1] = t
-        for t, b in self.bytes_of.items():
-            state, best = self.root, -1
-            for x in b[:-1]:
-                state = state[x]
-                best = state.get(-1, best)
-            self.shorter[t] = best
-        self.length = {t: len(b) for t, b in self.bytes_of.items()}
-        self.allowed: dict[int, dict[int, bool]] = {t: {} for t in self.bytes_of}
-        # an arc is dead if the gadgets never build it from its own bytes: a part is dead, or the path of its parts is cut
-        self.dead: set[int] = set()
-        for t in self.bytes_of:  # parts before what they build
-            u, v = self.left[t], self.right[t]
-            if u >= 0 and (u in self.dead or v in self.dead or not self._stands(u, v, self.rank[t])):
-                self.dead.add(t)
-        self.filled = 0
-
-    def _stands(self, t: int, u: int, limit: int) -> bool:
-        """Whether no gadget below ``limit`` cuts the path t, u: the two sides are undone merge by merge, the later first."""
-        rank, left, right, gadget = self.rank, self.left, self.right, self.gadget
-        rt, ru = rank[t], rank[u]
-        while True:
-            r = gadget.get(t << 32 | u)
-            if r is not None and r < limit:
-                return False
-            if rt > ru:  # before rank rt the left side ended in its right part
-                limit, t = rt, right[t]
-                rt = rank[t]
-            elif ru >= 0:  # a merge goes from left to right, so its own rank may already have joined t with the left part of u
-                limit, u = ru + 1, left[u]
-                ru = rank[u]
-            else:
-                return True
-
-    def _resolve(self, t: int, u: int) -> bool:
-        """Fills in the arc u of the state t; the table is emptied when full."""
-        self.filled += 1
-        if self.filled > TABLE_ARCS:
-            for row in self.allowed.values():
-                row.clear()
-            self.filled = 1
-        ok = self.allowed[t][u] = self._stands(t, u, 1 << 60)
-        return ok
-
-    def allows(self, t: int, u: int) -> bool:
-        """Transition table: whether the arc u leaves the state after the arc t."""
-        row = self.allowed[t]
-        ok = row.get(u)
-        return self._resolve(t, u) if ok is None else ok
+                self.bytes_of[w] = self.bytes_of[u] + self.bytes_of[v]
+                (first, _), *rest = edges[u]
+                # a merge goes from left to right: its own gadget may still cut the left part, so that shows until r
+                edges[w] = ((w, len(merges)), (first, r), *rest)
+                if u in dead or v in dead or any(cut[u].get(x, until + 1) <= until for x, until in edges[v]):
+                    dead.add(w)
+                cut[w] = cut[v]  # shared until a gadget tells them apart
+            if v not in cut[u]:
+                cut[u] = cut[u] | {v: r}
+        self.root: dict = {}  # trie: byte -> next node; under -1 the label spelled so far
+        live = [t for t in self.bytes_of if t not in dead]
+        for t in live:
+            node = self.root
+            for x in self.bytes_of[t]:
+                node = node.setdefault(x, {})
+            node[-1] = t
+        by_label = lambda d, none: [d.get(t, none) for t in range(max(self.bytes_of) + 1)]
+        self.length = by_label({t: len(b) for t, b in self.bytes_of.items()}, 0)
+        self.longest = max(self.length)
+        self.cut, self.edges, self.live = by_label(cut, {}), by_label(edges, ()), set(live)
+
+    def leaves(self, state: int, t: int) -> bool:
+        """Whether the arc t leaves the state."""
+        cut = self.cut[state]
+        return t in self.live and not any(cut.get(v, until + 1) <= until for v, until in self.edges[t])
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the one path that spells ``word``."""
-        n, root, length, shorter, dead, allowed = len(word), self.root, self.length, self.shorter, self.dead, self.allowed
-        closed: set[int] = set()  # places from which no path goes on
-        out: list[int] = []
-        at, row = 0, None
-        while at < n:
-            state, t = root, -1
-            for x in word[at:] if at else word:
-                state = state.get(x)
-                if state is None:
+        """The labels of the one path that spells ``word``: the state of each place, from left to right, then the path read off."""
+        n, root, longest, edges = len(word), self.root, self.longest, self.edges
+        last = [-1] * (n + 1)
+        cuts, cut = self.cut, {}
+        for at in range(n):
+            if at:
+                cut = cuts[last[at]]
+            node, end = root, at
+            for x in word[at : at + longest]:
+                node = node.get(x)
+                if node is None:
                     break
-                t = state.get(-1, t)
-            while True:
-                if t >= 0:
-                    end = at + length[t]
-                    if end not in closed and t not in dead:
-                        if row is None:
+                end += 1
+                if last[end] < 0 and -1 in node:
+                    t = node[-1]
+                    for v, until in edges[t]:
+                        if v in cut and cut[v] <= until:
                             break
-                        ok = row.get(t)
-                        if ok is None:
-                            ok = self._resolve(out[-1], t)
-                        if ok:
-                            break
-                    t = shorter[t]
-                else:  # dead end: step back and try the shorter arcs there
-                    closed.add(at)
-                    t = out.pop()
-                    at -= length[t]
-                    row = allowed[out[-1]] if out else None
-                    t = shorter[t]
-            out.append(t)
-            at, row = end, allowed[t]
-        return out
+                    else:
+                        last[end] = t
+        out = []
+        while n:
+            out.append(last[n])
+            n -= self.length[last[n]]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes on the arcs."""
@@ -167,10 +130,11 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         ids = array("i", self.automaton.encode(word.encode())).tobytes()
-        self[word] = ids
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -44,9 +45,23 @@ def test_same_ids_as_the_library(automaton, library):
         assert [t for w in split_words(text) for t in automaton.encode(w.encode())] == reference.ids
 
 
+def test_long_words_take_linear_time(automaton, library):
+    rng = random.Random(11)
+    for unit in ("日本語テスト", "abc", "".join(rng.choice("etaoinshrdlu") for _ in range(5000))):
+        seconds = []
+        for n in (100_000, 1_000_000):
+            word = (unit * (n // len(unit.encode()) + 1)).encode()[:n].decode(errors="ignore").encode()
+            began = time.perf_counter()
+            ids = automaton.encode(word)
+            seconds.append(time.perf_counter() - began)
+            assert automaton.decode(ids) == word
+        assert seconds[1] < 30 * seconds[0]
+        assert ids[:2000] == library.encode(word.decode(), add_special_tokens=False).ids[:2000]
+
+
 def test_every_token_is_its_own_path(automaton):
     """Each word of the vocabulary that can be built is spelled by the one arc it labels."""
-    assert not automaton.dead
+    assert automaton.live == set(automaton.bytes_of)
     assert all(automaton.encode(b) == [t] for t, b in automaton.bytes_of.items())
 
 
