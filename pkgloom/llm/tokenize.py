@@ -8,9 +8,9 @@ leaves a state unless a left edge of t is cut there while t's own merges still s
 apart share one table.
 
 Exactly one path spells each word, and each prefix of it, so every place in a word has one state. A word is encoded in
-one pass over its bytes: from the state of each place the arcs that leave it are followed along a byte trie of the
-labels and settle the states of later places. Nothing is taken back, and the work for a byte is bounded by the longest
-label. Decoding emits the labels of the arcs.
+one pass over its bytes: a byte trie of the labels, read from their ends, gives the arcs that may lead to a place, and
+the tables of the states before them say which one does. Nothing is taken back, and the work for a byte is bounded by
+the longest label. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -73,13 +73,13 @@ class TokenizationAutomaton:
                 cut[w] = cut[v]  # shared until a gadget tells them apart
             if v not in cut[u]:
                 cut[u] = cut[u] | {v: r}
-        self.root: dict = {}  # trie: byte -> next node; under -1 the label spelled so far
+        self.root: dict = {}  # trie of the labels from their ends: byte -> next node; under -1 the label spelled so far and its edges
         live = [t for t in self.bytes_of if t not in dead]
         for t in live:
             node = self.root
-            for x in self.bytes_of[t]:
+            for x in reversed(self.bytes_of[t]):
                 node = node.setdefault(x, {})
-            node[-1] = t
+            node[-1] = t, edges[t]
         by_label = lambda d, none: [d.get(t, none) for t in range(max(self.bytes_of) + 1)]
         self.length = by_label({t: len(b) for t, b in self.bytes_of.items()}, 0)
         self.longest = max(self.length)
@@ -92,25 +92,26 @@ class TokenizationAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path that spells ``word``: the state of each place, from left to right, then the path read off."""
-        n, root, longest, edges = len(word), self.root, self.longest, self.edges
-        last = [-1] * (n + 1)
-        cuts, cut = self.cut, {}
-        for at in range(n):
-            if at:
-                cut = cuts[last[at]]
-            node, end = root, at
-            for x in word[at : at + longest]:
-                node = node.get(x)
-                if node is None:
-                    break
-                end += 1
-                if last[end] < 0 and -1 in node:
-                    t = node[-1]
-                    for v, until in edges[t]:
+        n, root, longest, cuts = len(word), self.root, self.longest, self.cut
+        back = word[::-1]
+        last = [-1] * (n + 1)  # the state of each place
+        for end in range(1, n + 1):
+            node, at = root, end
+            for x in back[n - end : n - end + longest]:
+                node = node[x]  # the one arc that leads here is met before the trie ends
+                at -= 1
+                if -1 in node:
+                    t, edges = node[-1]
+                    if not at:
+                        last[end] = t
+                        break
+                    cut = cuts[last[at]]
+                    for v, until in edges:
                         if v in cut and cut[v] <= until:
                             break
                     else:
                         last[end] = t
+                        break
         out = []
         while n:
             out.append(last[n])
