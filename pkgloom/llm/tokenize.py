@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +73,14 @@ class TokenizationAutomaton:
                 cut[w] = cut[v]  # shared until a gadget tells them apart
             if v not in cut[u]:
                 cut[u] = cut[u] | {v: r}
-        self.root: dict = {}  # trie of the labels from their ends: byte -> next node; under -1 the label spelled so far and its edges
+        self.root: dict = {}  # trie of the labels from their ends: byte -> the label spelled so far or -1, its edges, what follows
         live = [t for t in self.bytes_of if t not in dead]
         for t in live:
             node = self.root
-            for x in reversed(self.bytes_of[t]):
-                node = node.setdefault(x, {})
-            node[-1] = t, edges[t]
+            *ahead, first = reversed(self.bytes_of[t])
+            for x in ahead:
+                node = node.setdefault(x, (-1, (), {}))[2]
+            node[first] = t, edges[t], node[first][2] if first in node else {}
         by_label = lambda d, none: [d.get(t, none) for t in range(max(self.bytes_of) + 1)]
         self.length = by_label({t: len(b) for t, b in self.bytes_of.items()}, 0)
         self.longest = max(self.length)
@@ -91,32 +92,46 @@ class TokenizationAutomaton:
         return t in self.live and not any(cut.get(v, until + 1) <= until for v, until in self.edges[t])
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the one path that spells ``word``: the state of each place, from left to right, then the path read off."""
-        n, root, longest, cuts = len(word), self.root, self.longest, self.cut
-        back = word[::-1]
-        last = [-1] * (n + 1)  # the state of each place
-        for end in range(1, n + 1):
-            node, at = root, end
-            for x in back[n - end : n - end + longest]:
-                node = node[x]  # the one arc that leads here is met before the trie ends
-                at -= 1
-                if -1 in node:
-                    t, edges = node[-1]
-                    if not at:
-                        last[end] = t
-                        break
-                    cut = cuts[last[at]]
-                    for v, until in edges:
-                        if v in cut and cut[v] <= until:
+        """The labels of the one path that spells ``word``."""
+        return memoryview(next(self.encode_sorted([word]))).cast("i").tolist()
+
+    def encode_sorted(self, words: Iterable[bytes]) -> Iterator[bytes]:
+        """The paths of ``words`` as int32: the state of each place, from left to right, then the path read off.
+
+        What a word shares with the beginning of the one before it is not read again.
+        """
+        root, longest, cuts, length = self.root, self.longest, self.cut, self.length
+        last, before = [-1], b""  # the state of each place
+        for word in words:
+            n, same = len(word), 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :]
+            before, back = word, word[::-1]
+            for end in range(same + 1, n + 1):
+                node, at = root, end
+                for x in back[n - end : n - end + longest]:
+                    t, edges, node = node[x]  # the one arc that leads here is met before the trie ends
+                    at -= 1
+                    if t >= 0:
+                        if not at:
                             break
-                    else:
-                        last[end] = t
-                        break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= self.length[last[n]]
-        return out[::-1]
+                        cut = cuts[last[at]]
+                        for v, until in edges:
+                            if v in cut and cut[v] <= until:
+                                break
+                        else:
+                            break
+                last.append(t)
+            out = []
+            while n:
+                t = last[n]
+                out.append(t)
+                n -= length[t]
+            out.reverse()
+            yield array("i", out).tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes on the arcs."""
@@ -131,12 +146,16 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.automaton.encode(word.encode())).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return next(self.automaton.encode_sorted([word.encode()]))
+
+    def fill(self, words: set[str]) -> None:
+        """Encodes those of ``words`` that are not known yet and not too long to keep."""
+        new = words - self.keys()
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = words
+        wanted = sorted(w for w in new if len(w) <= CACHE_CHARS)
+        self.update(zip(wanted, self.automaton.encode_sorted(map(str.encode, wanted))))
 
 
 _ready: dict[int, _Words] = {}
@@ -155,13 +174,14 @@ def split_words(text: str) -> list[str]:
 
 
 def encode_texts(texts: list[str | None], words: _Words) -> pa.ListArray:
+    split = [split_words(t) if t else [] for t in texts]
+    words.fill(set().union(*split))
     offsets, data, n = [0], [], 0
     get = words.__getitem__
-    for t in texts:
-        if t:
-            b = b"".join(map(get, split_words(t)))
-            n += len(b) >> 2
-            data.append(b)
+    for ws in split:
+        b = b"".join(map(get, ws))
+        n += len(b) >> 2
+        data.append(b)
         offsets.append(n)
     values = pa.Array.from_buffers(pa.int32(), n, [None, pa.py_buffer(b"".join(data))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
