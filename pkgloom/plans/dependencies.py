@@ -14,7 +14,7 @@ deps = Registry()
 
 # the versions of the test data in SQL: three numbers and at most one qualifier; a bound may have fewer numbers
 _KEY = "[coalesce(try_cast(regexp_extract({v}, '^(\\d+)', 1) AS INT), 0), coalesce(try_cast(regexp_extract({v}, '^\\d+\\.(\\d+)', 1) AS INT), 0), coalesce(try_cast(regexp_extract({v}, '^\\d+\\.\\d+\\.(\\d+)', 1) AS INT), 0), CASE WHEN {v} LIKE '%-beta%' THEN -2 WHEN {v} LIKE '%-rc%' THEN -1 ELSE 0 END, coalesce(try_cast(regexp_extract({v}, '-[a-z]+(\\d+)', 1) AS INT), 0)]"
-_SETS = r"""
+SETS_SQL = r"""
 sets AS (SELECT DISTINCT dependency_id AS package_id, list_sort(list_distinct(list_transform(version_range, lambda x: regexp_replace(x, '\s', '', 'g')))) AS r, package_version_id AS source FROM deps WHERE version_range IS NOT NULL),
 specs AS (SELECT DISTINCT package_id, r, unnest(r) AS spec FROM sets),
 parsed AS (SELECT *, regexp_replace(spec, '[\[\]()]', '', 'g') AS inn FROM specs),
@@ -54,14 +54,14 @@ def split_specs(c):
     return c.dependencies.select("package_version_id", "dependency_id", F.size(split_constraints(text)).cast("long").alias("n"))
 
 
-@deps("D3_matching_revisions", f"WITH {_SETS} SELECT package_id, array_to_string(r, '|') AS ranges, count(*) AS n_versions FROM matched GROUP BY package_id, r")
+@deps("D3_matching_revisions", f"WITH {SETS_SQL} SELECT package_id, array_to_string(r, '|') AS ranges, count(*) AS n_versions FROM matched GROUP BY package_id, r")
 def matching_revisions(c):
     _, sets = constraint_sets(c.dependencies)
     m = match_counts(sets, c.package_versions)
     return m.select(F.split_part("set_id", F.lit("|"), F.lit(1)).cast("long").alias("package_id"), F.regexp_replace("set_id", r"^-?\d+\|", "").alias("ranges"), F.col("n").alias("n_versions"))
 
 
-@deps("D4_dependency_edges", f"WITH {_SETS}, per AS (SELECT package_id, r, count(*) AS n FROM matched GROUP BY package_id, r) SELECT s.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_targets FROM sets s LEFT JOIN per ON per.package_id = s.package_id AND per.r = s.r GROUP BY s.source")
+@deps("D4_dependency_edges", f"WITH {SETS_SQL}, per AS (SELECT package_id, r, count(*) AS n FROM matched GROUP BY package_id, r) SELECT s.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_targets FROM sets s LEFT JOIN per ON per.package_id = s.package_id AND per.r = s.r GROUP BY s.source")
 def dependency_edges(c):
     """Out-degree of every version in the dependency graph, from the factorised tables."""
     uses, sets = constraint_sets(c.dependencies)
@@ -69,7 +69,7 @@ def dependency_edges(c):
     return uses.join(per, "set_id", "left").groupBy("source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_targets"))
 
 
-@deps("D5_inverted_edges", f"WITH {_SETS}, per AS (SELECT package_id, r, count(DISTINCT source) AS n FROM sets GROUP BY package_id, r) SELECT target, CAST(sum(n) AS BIGINT) AS n_sources FROM matched JOIN per USING (package_id, r) GROUP BY target")
+@deps("D5_inverted_edges", f"WITH {SETS_SQL}, per AS (SELECT package_id, r, count(DISTINCT source) AS n FROM sets GROUP BY package_id, r) SELECT target, CAST(sum(n) AS BIGINT) AS n_sources FROM matched JOIN per USING (package_id, r) GROUP BY target")
 def inverted_edges(c):
     """In-degree of every version: how many (source, set) name it."""
     uses, sets = constraint_sets(c.dependencies)
@@ -79,7 +79,7 @@ def inverted_edges(c):
 _ROOT = "SELECT min(id) AS node FROM pv WHERE package_id = (SELECT min(package_id) FROM pv)"
 
 
-@deps("D6_direct_dependents", f"WITH {_SETS} SELECT DISTINCT s.source AS node, 1 AS dist FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r JOIN pv ON pv.id = s.source WHERE m.target IN ({_ROOT}) AND pv.created_at >= TIMESTAMP '2017-01-01'")
+@deps("D6_direct_dependents", f"WITH {SETS_SQL} SELECT DISTINCT s.source AS node, 1 AS dist FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r JOIN pv ON pv.id = s.source WHERE m.target IN ({_ROOT}) AND pv.created_at >= TIMESTAMP '2017-01-01'")
 def direct_dependents(c):
     uses, sets = constraint_sets(c.dependencies)
     v = c.package_versions
@@ -109,14 +109,14 @@ def dependency_json(c):
     return d.select("package_version_id", "dependency_id", F.to_json(F.struct("dependency_id", F.col("version_range").alias("ranges"))).alias("json"))
 
 
-@deps("D12_invalidated_files", f"WITH {_SETS} SELECT DISTINCT left(p.package_name, 1) || '/' || split_part(p.package_name, ':', 1) || '/' || split_part(p.package_name, ':', 2) || '/' || pv.version || '.json' AS path FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r JOIN pv ON pv.id = s.source JOIN packages p ON p.id = pv.package_id WHERE m.target IN ({_ROOT})")
+@deps("D12_invalidated_files", f"WITH {SETS_SQL} SELECT DISTINCT left(p.package_name, 1) || '/' || split_part(p.package_name, ':', 1) || '/' || split_part(p.package_name, ':', 2) || '/' || pv.version || '.json' AS path FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r JOIN pv ON pv.id = s.source JOIN packages p ON p.id = pv.package_id WHERE m.target IN ({_ROOT})")
 def invalidated_files(c):
     """Cache files of the direct dependents of a changed version, as its SQL; D12_all_invalidated_files has all."""
     uses, sets = constraint_sets(c.dependencies)
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    return _cache_files(c, dependents(uses, sets, v, roots, None, transitive=False))
+    return cache_files(c, dependents(uses, sets, v, roots, None, transitive=False))
 
 
 @deps("D12_all_invalidated_files")
@@ -126,10 +126,11 @@ def all_invalidated_files(c):
     v = c.package_versions
     first = v.agg(F.min("package_id").alias("package_id"))
     roots = v.join(F.broadcast(first), "package_id").agg(F.min("id").alias("node"))
-    return _cache_files(c, dependents(uses, sets, v, roots).select("node").unionByName(roots))
+    return cache_files(c, dependents(uses, sets, v, roots).select("node").unionByName(roots))
 
 
-def _cache_files(c, hit):
+def cache_files(c, hit):
+    """(path) of the cache file of each version ``hit`` (node)."""
     v = c.package_versions
     p = c.packages.select(F.col("id").alias("package_id"), "package_name")
     j = hit.join(v.select(F.col("id").alias("node"), "package_id", "version"), "node").join(p, "package_id")
@@ -142,7 +143,7 @@ def scopes(c):
     return c.dependencies.select(F.explode("dependency_type").alias("scope")).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
-@deps("D9_direct_resolution", f"WITH {_SETS}, best AS (SELECT m.package_id, m.r, arg_max(vk.version, (vk.k, vk.version)) AS version FROM matched m JOIN vk ON vk.id = m.target GROUP BY 1, 2) SELECT DISTINCT s.source, best.version, best.package_id FROM sets s JOIN best ON best.package_id = s.package_id AND best.r = s.r")
+@deps("D9_direct_resolution", f"WITH {SETS_SQL}, best AS (SELECT m.package_id, m.r, arg_max(vk.version, (vk.k, vk.version)) AS version FROM matched m JOIN vk ON vk.id = m.target GROUP BY 1, 2) SELECT DISTINCT s.source, best.version, best.package_id FROM sets s JOIN best ON best.package_id = s.package_id AND best.r = s.r")
 def direct_resolution(c):
     """The highest version that each dependency allows."""
     uses, sets = constraint_sets(c.dependencies)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from pkgloom.operators.dependencies import constraint_sets, dependents
 from pkgloom.operators.upsert import last_of_each, upsert
+from pkgloom.plans.dependencies import SETS_SQL, cache_files
 from pkgloom.plans.registry import Registry, micros
-from pkgloom.session import Scratch
-from pkgloom.streaming.lanes import NORMAL, PRIORITY, Lanes, envelope, offload, table_stream, unwrap_payload
+from pkgloom.session import Scratch, cut
+from pkgloom.streaming.lanes import NORMAL, PRIORITY, Lanes, StreamedTable, envelope, kafka_rows, offload, table_stream, unwrap_payload
 
 streams = Registry()
 
@@ -17,7 +20,7 @@ _RECORDS = f"rec AS (SELECT event_id AS key, CASE WHEN event_type = 'purchase' T
 
 
 def _records(c) -> DataFrame:
-    e = table_stream(c.spark, c.sf_dir, "events")
+    e = table_stream(c.spark, c.sf_dir, "events", "event_id")
     lane = F.when(F.col("event_type") == "purchase", PRIORITY).otherwise(NORMAL)
     return e.select(F.col("event_id").alias("key"), lane.alias("lane"), F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.coalesce("props", F.lit(""))).alias("value"))
 
@@ -111,17 +114,80 @@ def stream_lookup(c):
 @streams("T16_incremental_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id")
 def incremental_upsert(c):
     """A table of the last event of each user, kept by upserts of each batch."""
-    scratch = Scratch(c.spark)
-    schema = "user_id long, event_type string, ts timestamp_ntz, event_id long"
-    state = {"table": scratch.write(c.spark.createDataFrame([], schema))[0]}
+    kept = StreamedTable(c.spark, Scratch(c.spark).root.toString(), "user_id long, event_type string, ts timestamp_ntz, event_id long")
 
-    def batch(df: DataFrame, number: int) -> None:
-        last = last_of_each(df.select("user_id", "event_type", "ts", "event_id").unionByName(state["table"]), ["user_id"], ["ts", "event_id"])
-        state["table"], _ = scratch.write(upsert(state["table"], last, ["user_id"]))
+    def merge(table: DataFrame, batch: DataFrame) -> DataFrame:
+        last = last_of_each(batch.select("user_id", "event_type", "ts", "event_id").unionByName(table), ["user_id"], ["ts", "event_id"])
+        return upsert(table, last, ["user_id"])
 
-    q = table_stream(c.spark, c.sf_dir, "events").writeStream.foreachBatch(batch).option("checkpointLocation", f"{scratch.root.toString()}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return state["table"].select("user_id", F.col("event_type").alias("last_type"), micros("ts").alias("last_us"))
+    kept.consume(table_stream(c.spark, c.sf_dir, "events", "event_id"), merge)
+    return kept.read().select("user_id", F.col("event_type").alias("last_type"), micros("ts").alias("last_us"))
+
+
+@streams("T2_lane_order", f"WITH {_RECORDS} SELECT lane, CASE WHEN lane = 'priority' THEN 0 ELSE 1 END AS place, count(*) AS n FROM rec GROUP BY lane")
+def lane_order(c):
+    """In every batch the place of each lane by the time its files were written, and the records it had."""
+    lanes = Lanes(c.spark)
+    lanes.consume(_records(c), _plugin, dedup=False)
+    written = lanes.results().select("batch", "lane", F.col("_metadata.file_modification_time").alias("at"))
+    per = written.groupBy("batch", "lane").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    placed = per.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("at", F.col("lane") == NORMAL)) - 1)
+    return placed.groupBy("lane", "place").agg(F.sum("n").alias("n"))
+
+
+@streams("T3_restarted", f"WITH {_RECORDS} SELECT rec.key, lane, CASE WHEN rec.key > fst.k THEN 'seen before' WHEN event_type = 'error' THEN 'no such plugin input' ELSE 'done' END AS outcome FROM rec JOIN fst ON fst.value = rec.value")
+def restarted(c):
+    """A consumer that is ended after each half of its source and started anew on the same root: each record once."""
+    root = Scratch(c.spark).root.toString()
+    source = f"{root}/source"
+    rows = c.events.select(F.col("event_id").alias("key"), F.when(F.col("event_type") == "purchase", PRIORITY).otherwise(NORMAL).alias("lane"), F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.coalesce("props", F.lit(""))).alias("value"))
+    half = rows.approxQuantile("key", [0.5], 0.01)[0]
+    for part in (rows.where(F.col("key") <= half), rows.where(F.col("key") > half), rows.limit(0)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        lanes = Lanes(c.spark, f"{root}/state")
+        lanes.consume(c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), _plugin)
+    return lanes.results().select("key", "lane", F.coalesce("error", F.lit("done")).alias("outcome"))
+
+
+@streams("S14_kafka_rows", f"WITH {_RECORDS} SELECT 'plug' || CASE WHEN event_type = 'error' THEN '.err' ELSE '.out' END AS topic, key::VARCHAR AS key, CASE WHEN event_type = 'error' THEN 'no such plugin input' ELSE upper(value) END AS value FROM rec")
+def sent_rows(c):
+    """What a batch sends to Kafka: outputs and errors to topics of their own."""
+    lanes = Lanes(c.spark)
+    lanes.consume(_records(c), _plugin, dedup=False)
+    return kafka_rows(lanes.results(), "plug")
+
+
+_AFFECTED = "SELECT DISTINCT v.id FROM packages p JOIN pv v ON v.package_id = p.id JOIN vpurls x ON x.package_name = p.package_name AND x.package_version = v.version AND x.forge = p.forge"
+
+
+@streams(
+    "T17_invalidation_stream",
+    f"WITH {SETS_SQL}, aff AS ({_AFFECTED}), hit AS (SELECT s.source AS id FROM matched m JOIN sets s ON s.package_id = m.package_id AND s.r = m.r WHERE m.target IN (SELECT id FROM aff) UNION SELECT id FROM aff) SELECT DISTINCT left(p.package_name, 1) || '/' || split_part(p.package_name, ':', 1) || '/' || split_part(p.package_name, ':', 2) || '/' || v.version || '.json' AS path FROM hit JOIN pv v ON v.id = hit.id JOIN packages p ON p.id = v.package_id",
+)
+def invalidation_stream(c):
+    """Cache files that newly reported vulnerabilities make stale, batch by batch: of the version named and its direct dependents."""
+    uses, sets = constraint_sets(c.dependencies)
+    v, p = c.package_versions, c.packages.select(F.col("id").alias("package_id"), "package_name", "forge")
+    named = v.select(F.col("id").alias("node"), "package_id", F.col("version").alias("package_version")).join(p, "package_id")
+    stale = StreamedTable(c.spark, Scratch(c.spark).root.toString(), "path string")
+
+    def merge(table: DataFrame, batch: DataFrame) -> DataFrame:
+        roots = cut(named.join(batch.select("package_name", "package_version", "forge").distinct(), ["package_name", "package_version", "forge"]).select("node").distinct())
+        hit = dependents(uses, sets, v, roots, None, transitive=False).select("node").unionByName(roots)
+        return table.unionByName(cache_files(c, hit)).distinct()
+
+    stale.consume(table_stream(c.spark, c.sf_dir, "vulnerabilities_purls", "vulnerability_id"), merge)
+    return stale.read()
+
+
+@streams("N14_listened_packages", "SELECT DISTINCT x.vulnerability_id, v.id AS version_id FROM packages p JOIN pv v ON v.package_id = p.id JOIN vpurls x ON x.package_name = p.package_name AND x.package_version = v.version AND x.forge = p.forge")
+def listened_packages(c):
+    """Each package version that arrives, with the vulnerabilities known for it."""
+    known = c.vulnerabilities_purls.select("vulnerability_id", "package_name", "forge", F.col("package_version").alias("version")).distinct()
+    known = known.join(c.packages.select(F.col("id").alias("package_id"), "package_name", "forge"), ["package_name", "forge"]).select("vulnerability_id", "package_id", "version")
+    found = StreamedTable(c.spark, Scratch(c.spark).root.toString(), "vulnerability_id long, version_id long")
+    found.consume(table_stream(c.spark, c.sf_dir, "package_versions", "id"), lambda table, batch: table.unionByName(batch.join(known, ["package_id", "version"]).select("vulnerability_id", F.col("id").alias("version_id"))).distinct())
+    return found.read()
 
 
 QUERIES, SQL = streams.queries, streams.sql

@@ -85,3 +85,38 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+class Folder:
+    """Folders on the session's file systems."""
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def _at(self, path: str):
+        p = self.path(path)
+        return p, p.getFileSystem(self.conf)
+
+    def is_file(self, path: str) -> bool:
+        p, fs = self._at(path)
+        return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+    def names(self, path: str) -> list[str]:
+        """Names in a folder, without those that begin with a dot or an underscore; none if it is missing."""
+        p, fs = self._at(path)
+        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in found if n[0] not in "._")
+
+    def delete(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
+    def replace(self, df: DataFrame, path: str, partition: str | None = None) -> None:
+        """Writes ``df`` beside ``path`` and moves it there when it is whole."""
+        p, fs = self._at(path)
+        half = f"{p.getParent().toString()}/_{uuid.uuid4().hex}"
+        w = df.write.partitionBy(partition) if partition else df.write
+        w.parquet(half)
+        fs.delete(p, True)
+        if not fs.rename(self.path(half), p):
+            raise OSError(f"{half} could not be moved to {path}")
