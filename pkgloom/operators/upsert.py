@@ -69,3 +69,24 @@ def get_or_create(dictionary: DataFrame, names: DataFrame, key: str = "name", id
 def append_new(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows and those of the batch whose key is new, each key once."""
     return stored.unionByName(batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti"))
+
+
+def from_lists(batch: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Rows of parallel lists: one row per place. Lists of different length in a row are an error; a null list is empty."""
+    sizes = F.array(*[F.greatest(F.size(c), F.lit(0)) for c in columns])
+    even = F.array_max(sizes) == F.array_min(sizes)
+    zipped = F.when(F.assert_true(even, F.lit("lists of different length: " + ", ".join(columns))).isNull(), F.arrays_zip(*columns))
+    return batch.select(*(keep or []), F.inline(zipped))
+
+
+def append_strict(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows and the batch's; a key that the batch has twice, or that is stored already, is an error when the result is read."""
+    marked = stored.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+    per = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_new").alias("_any"), F.max(F.struct(*[c for c in stored.columns if c not in keys])).alias("_r") if len(stored.columns) > len(keys) else F.lit(None).alias("_r"))
+    checked = per.where(F.assert_true((F.col("_n") == 1) | (F.col("_any") == 0), F.lit("a key is stored already")).isNull())
+    return checked.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in stored.columns])
+
+
+def ids_in_order(dictionary: DataFrame, batch: DataFrame, place: str, key: str = "name", id_col: str = "id") -> DataFrame:
+    """(place, key, id) of every row of the batch: the stored id of its key, or a new one; repeated keys share theirs."""
+    return batch.select(place, key).join(get_or_create(dictionary, batch, key, id_col), key).select(place, key, id_col)

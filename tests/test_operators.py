@@ -374,3 +374,20 @@ def test_other_sources(spark, tmp_path):
     assert len(tries) == 3
     with pytest.raises(ZeroDivisionError):
         retried(lambda: 1 / 0, retries=2, wait_s=0)
+
+
+def test_lists_and_strict_appends(spark):
+    from pkgloom.operators.upsert import append_strict, from_lists, ids_in_order
+
+    lists = spark.createDataFrame([(1, ["a", "b"], [1, None]), (2, [], []), (3, None, None)], "k int, n array<string>, v array<int>")
+    assert sorted(tuple(r) for r in from_lists(lists, ["n", "v"], ["k"]).collect()) == [(1, "a", 1), (1, "b", None)]
+    with pytest.raises(Exception, match="different length"):
+        from_lists(spark.createDataFrame([(1, ["a"], [1, 2])], "k int, n array<string>, v array<int>"), ["n", "v"]).collect()
+    stored = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert sorted(tuple(r) for r in append_strict(stored, spark.createDataFrame([("c", 3)], "k string, v int"), ["k"]).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    for bad in ([("a", 3)], [("d", 1), ("d", 1)]):
+        with pytest.raises(Exception, match="stored already"):
+            append_strict(stored, spark.createDataFrame(bad, "k string, v int"), ["k"]).collect()
+    names = spark.createDataFrame([("x", 7)], "name string, id long")
+    got = ids_in_order(names, spark.createDataFrame([(0, "y"), (1, "x"), (2, "y"), (3, None)], "place int, name string"), "place")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "y", 8), (1, "x", 7), (2, "y", 8)]
