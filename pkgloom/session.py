@@ -111,6 +111,15 @@ class Folder:
         p, fs = self._at(path)
         fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        """Moves a folder, if there is one, to a place that is free."""
+        p, fs = self._at(path)
+        target = self.path(to)
+        if fs.exists(p):
+            fs.mkdirs(target.getParent())
+            if not fs.rename(p, target):
+                raise OSError(f"{path} could not be moved to {to}")
+
     def replace(self, df: DataFrame, path: str, partition: str | None = None) -> None:
         """Writes ``df`` beside ``path`` and moves it there when it is whole."""
         p, fs = self._at(path)

@@ -391,3 +391,47 @@ def test_lists_and_strict_appends(spark):
     names = spark.createDataFrame([("x", 7)], "name string, id long")
     got = ids_in_order(names, spark.createDataFrame([(0, "y"), (1, "x"), (2, "y"), (3, None)], "place int, name string"), "place")
     assert sorted(tuple(r) for r in got.collect()) == [(0, "y", 8), (1, "x", 7), (2, "y", 8)]
+
+
+def test_graphs_replaced_and_dumped(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    nodes = spark.createDataFrame([(1, 1, False), (1, 2, True), (257, 5, False)], "graph_id long, node long, external boolean")
+    edges = spark.createDataFrame([(1, 1, 2)], "graph_id long, src long, dst long")
+    sites = spark.createDataFrame([(1, 1, 2, 7, "VIRTUAL", ["/b"]), (1, 1, 2, 3, "STATIC", [])], "graph_id long, src long, dst long, line int, call_type string, receivers array<string>")
+    for _ in range(2):
+        store.save(nodes, edges, sites)
+    assert store.table("nodes").count() == 3 and store.table("edges").count() == 1
+    assert [(r["line"], r["receivers"]) for r in store.sites(1).collect()] == [(3, []), (7, ["/b"])] and store.sites(257).count() == 0
+    store.dump(1, str(tmp_path / "dump"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()]
+    assert lines[0] == "1 -> 2" and lines[1].startswith("1: [") and len(lines) == 2
+    store.save(nodes.where("graph_id = 1").limit(1), edges.limit(0))
+    assert store.load(1)[0].count() == 1 and store.load(257)[0].count() == 1 and store.sites(1).count() == 0
+    store.delete(99)
+    assert store.load(99) is None
+
+
+def test_readers(spark, tmp_path, monkeypatch):
+    from pkgloom.sources.graph_store import malformed_coordinates
+    from pkgloom.sources.readers import ChainRepository, by_forge, indexed, jdbc_options, json_files, json_lines
+
+    monkeypatch.setenv("PGPASSWORD", "x")
+    options = jdbc_options("jdbc:postgresql://h/d", "packages", user="u", split="id", low=1, high=9, parts=3)
+    assert options["fetchsize"] == "10000" and options["password"] == "x" and options["partitionColumn"] == "id" and options["numPartitions"] == "3"
+    a, b = (spark.createDataFrame([(i,)], "id long") for i in (1, 2))
+    assert by_forge({"mvn": a, "debian": b}).where("forge = 'debian'").collect() == [(2, "debian")]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "one.json").write_text('{"a":\n1}')
+    (tmp_path / "j" / "two.json").write_text("{")
+    (tmp_path / "j" / "three.json").write_text("")
+    assert {(r["file"], r["broken"]) for r in json_files(spark, str(tmp_path / "j")).collect()} >= {("one.json", False), ("two.json", True)}
+    (tmp_path / "l.txt").write_text('{"a":1}\n\n  \n{\n{"a":2}\n')
+    assert sorted((r["json"], r["broken"]) for r in json_lines(spark, str(tmp_path / "l.txt")).collect()) == [("{", True), ('{"a":1}', False), ('{"a":2}', False)]
+    assert indexed(spark, lambda r: r, files=str(tmp_path / "l.txt")).count() == 2
+    repo = ChainRepository(spark, str(tmp_path / "chains"))
+    assert repo.load().count() == 0
+    repo.store(spark.createDataFrame([("g:a", "1/2", "[1]"), ("g:b", "1", "[2]"), (None, "1", "[3]")], "package string, version string, json string"))
+    repo.store(spark.createDataFrame([("g:a", "1/2", "[9]")], "package string, version string, json string"))
+    assert [tuple(r) for r in repo.load("g:a", "1/2").collect()] == [("g:a", "1/2", "g-a-1-2.json", "[9]")] and repo.load().count() == 3
+    (tmp_path / "c.txt").write_text("g:a:1\nbroken\n\nx:y\n")
+    assert sorted(r[0] for r in malformed_coordinates(spark, str(tmp_path / "c.txt")).collect()) == ["broken", "x:y"]
