@@ -54,13 +54,3 @@ def pointer(json: Column | str, pointer_text: str, as_type: str = "string") -> C
 def has_key(json: Column | str, key: str) -> Column:
     """Whether the object has the key, null or not; false for no object."""
     return F.coalesce(F.array_contains(F.map_keys(as_map(json)), key), F.lit(False))
-
-
-def first_payload_with(json: Column | str, key: str, depth: int = 16) -> Column:
-    """JSON of the outermost ``payload`` that has ``key``, along a chain of at most ``depth`` ``input``s."""
-    v, found, path = F.try_parse_json(_c(json)), [], "$"
-    for _ in range(depth):
-        has = F.try_variant_get(v, f"{path}.payload.{key}", "variant").isNotNull()
-        found.append(F.when(has, F.to_json(F.try_variant_get(v, f"{path}.payload", "variant"))))
-        path += ".input"
-    return F.coalesce(*found)

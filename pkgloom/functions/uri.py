@@ -52,6 +52,55 @@ def split_partial_uri(uri: Column | str) -> dict[str, Column]:
     return {k: F.nullif(F.regexp_extract(_c(uri), PARTIAL, i + 1), F.lit("")) for i, k in enumerate(("namespace", "class_name", "method", "args", "returns"))}
 
 
+def reference_parts(uri: Column | str, scheme: str = SCHEME) -> dict[str, Column]:
+    """authority, namespace and entity of scheme://authority/namespace/entity, /namespace/entity or entity; missing parts are null."""
+    pattern = rf"^(?:{scheme}:)?(?://([^/]*))?(?:/([^/]+)/)?(.*)$"
+    part = lambda i: F.nullif(F.regexp_extract(_c(uri), pattern, i), F.lit(""))
+    return {"authority": part(1), "namespace": part(2), "entity": F.regexp_extract(_c(uri), pattern, 3)}
+
+
+def relativize(base: Column | str, uri: Column | str) -> Column:
+    """``uri`` as seen from ``base``: whole if its authority is another one, else without authority, and without namespace if that is the same."""
+    b, u = reference_parts(base), reference_parts(uri)
+    other = u["authority"].isNotNull() & ~u["authority"].eqNullSafe(b["authority"])
+    abroad = u["namespace"].isNotNull() & ~u["namespace"].eqNullSafe(b["namespace"])
+    return F.when(other, _c(uri)).when(abroad, F.concat(F.lit("/"), u["namespace"], F.lit("/"), u["entity"])).otherwise(u["entity"])
+
+
+def derelativize(base: Column | str, uri: Column | str) -> Column:
+    """``uri`` with the namespace of ``base`` if it has none; a primitive such as /int stays."""
+    u = reference_parts(uri)
+    bare = u["namespace"].isNull() & ~F.startswith(_c(uri), F.lit("/"))
+    return F.when(bare, F.concat(F.lit("/"), reference_parts(base)["namespace"], F.lit("/"), u["entity"])).otherwise(_c(uri))
+
+
+def resolve(base: Column | str, uri: Column | str, scheme: str = SCHEME) -> Column:
+    """``uri`` read from ``base``: whole references stay, rooted ones take scheme and authority, others also the folder."""
+    b, u = _c(base), _c(uri)
+    root = F.regexp_extract(b, rf"^((?:{scheme}:)?(?://[^/]*)?)", 1)
+    folder = F.regexp_extract(b, r"^(.*/)", 1)
+    return F.when(u.rlike(rf"^(?:{scheme}:|//)"), u).when(F.startswith(u, F.lit("/")), F.concat(root, u)).otherwise(F.concat(folder, u))
+
+
+def _types(uri: Column, change) -> Column:
+    """``uri`` with its argument types and its return type changed; types stand percent-encoded."""
+    pattern = r"^([^(]*\()([^)]*)(\))(.*)$"
+    part = lambda i: F.regexp_extract(uri, pattern, i)
+    one = lambda x: percent_encode_args(change(percent_decode(x)))
+    args = F.when(part(2) == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(part(2), ","), one), ","))
+    return F.when(uri.rlike(pattern), F.concat(part(1), args, part(3), one(part(4)))).otherwise(uri)
+
+
+def canonicalize(uri: Column | str) -> Column:
+    """A callable's URI whose types are relative to it."""
+    return _types(_c(uri), lambda x: relativize(uri, x))
+
+
+def decanonicalize(uri: Column | str) -> Column:
+    """The inverse of canonicalize."""
+    return _types(_c(uri), lambda x: derelativize(uri, x))
+
+
 def purl_parts(purl: Column | str) -> dict[str, Column]:
     """type, namespace, name, version and ecosystem of pkg:type/namespace/name@version?qualifiers#subpath."""
     pattern = r"^pkg:([^/]+)/(?:(.+)/)?([^/@?#]+)(?:@([^?#]*))?(?:\?[^#]*)?(?:#.*)?$"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,20 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, keys:
     return reduce(DataFrame.unionByName, levels)
 
 
+class Reach(NamedTuple):
+    """A reachability question: what ``node`` reaches, or what reaches it, within ``max_depth`` steps."""
+
+    edges: DataFrame
+    node: int
+    forward: bool = True
+    max_depth: int | None = None
+
+    def run(self) -> DataFrame:
+        """(node, dist)"""
+        seed = self.edges.sparkSession.createDataFrame([(self.node,)], "node long")
+        return bfs(self.edges if self.forward else transpose(self.edges), seed, self.max_depth)
+
+
 def trivial_score(indegree: str = "indegree", outdegree: str = "outdegree", dist: str = "dist") -> Column:
     return (F.col(indegree) + F.col(outdegree)) / F.log2(F.col(dist) + F.lit(2.0))
 

@@ -13,6 +13,7 @@ meet. No value is lost: every plain value is in one row, every array element is
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -207,6 +208,21 @@ def flatten_chain(df: DataFrame, key: str, text: str, inner: str = "input", whol
     return _mapped(df, key, text, rows)
 
 
+def first_payload_with(df: DataFrame, key: str, text: str, wanted: str, inner: str = "input") -> DataFrame:
+    """(key, payload) of every record: JSON of the outermost ``payload`` along its chain that has ``wanted`` and no null there; null if none has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                payloads = (e.get("payload") for _, e in _stages(t, inner))
+                hit = next((p for p in payloads if isinstance(p, dict) and p.get(wanted) is not None), None)
+                out.append(None if hit is None else json.dumps(hit, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "payload"])
+
+    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "key long, payload string")
+
+
 def stages_and_lines(callables: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
     """child_kind, record_key, parent_no, child_no, label, detail: envelopes with a plugin name, and changed lines."""
     chain = flatten_chain(callables, "record_id", "message")

@@ -7,8 +7,6 @@ signature). All are tables; the closure of the hierarchy is the only loop.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +32,25 @@ def ancestors(types: DataFrame) -> DataFrame:
     """(type, ancestor, place): all ancestors, place ordering them as a walk that lists a type's own parents first,
     then what the first parent's walk lists, then the second's. A type met twice has its first place; a cyclic
     hierarchy ends where a path meets a type again. The root of all types comes last.
+
+    Each round carries only the pairs whose best place got better, one row for each type and ancestor.
     """
     scratch = Scratch(types.sparkSession)
-    links, _ = scratch.write(types.where("parent IS NOT NULL").select("type", "parent", F.lpad(F.col("idx").cast("string"), 6, "0").alias("i")).distinct())
-    frontier, _ = scratch.write(links.select("type", F.col("parent").alias("at"), F.concat(F.lit("0"), "i").alias("place"), F.concat(F.lit("1"), "i").alias("prefix"), F.array("type", "parent").alias("seen")).where("type <> at"))
-    found = [frontier.select("type", "at", "place")]
-    while not frontier.isEmpty():
-        step = frontier.join(links.withColumnRenamed("type", "t2"), F.col("at") == F.col("t2")).where(~F.array_contains("seen", F.col("parent")))
-        frontier, _ = scratch.write(step.select("type", F.col("parent").alias("at"), F.concat("prefix", F.lit("0"), "i").alias("place"), F.concat("prefix", F.lit("1"), "i").alias("prefix"), F.concat("seen", F.array("parent")).alias("seen")))
-        found.append(frontier.select("type", "at", "place"))
-    every = reduce(DataFrame.unionByName, found)
-    place = F.when(F.col("at") == LAST, F.lit("z")).otherwise(F.col("place"))
-    return every.groupBy("type", F.col("at").alias("ancestor")).agg(F.min(place).alias("place"))
+    links, _ = scratch.write(types.where("parent IS NOT NULL AND parent <> type").groupBy("type", "parent").agg(F.min(F.lpad(F.col("idx").cast("string"), 6, "0")).alias("i")))
+    path = F.array("type", "parent").alias("path")
+    best, at = scratch.write(links.select("type", F.col("parent").alias("ancestor"), F.concat(F.lit("0"), "i").alias("place"), path))
+    better, left = best, 1
+    while left:
+        on = links.withColumnRenamed("type", "child").join(better, F.col("parent") == F.col("type")).where(~F.array_contains("path", F.col("child")))
+        found = on.select(F.col("child").alias("type"), "ancestor", F.concat(F.lit("1"), "i", "place").alias("place"), F.concat(F.array("child"), "path").alias("path"))
+        first = found.groupBy("type", "ancestor").agg(F.min(F.struct("place", "path")).alias("f")).select("type", "ancestor", "f.*")
+        old = best.select("type", "ancestor", F.col("place").alias("known"))
+        better, at_better, left = scratch.counted(first.join(old, ["type", "ancestor"], "left").where("known IS NULL OR place < known").select("type", "ancestor", "place", "path"))
+        if left:
+            after, at_after = scratch.write(best.join(better.select("type", "ancestor"), ["type", "ancestor"], "left_anti").unionByName(better))
+            scratch.drop(at)
+            best, at = after, at_after
+    return best.select("type", "ancestor", F.when(F.col("ancestor") == LAST, F.lit("z")).otherwise(F.col("place")).alias("place"))
 
 
 def dispatch(calls: DataFrame, dictionary: DataFrame, above: DataFrame) -> DataFrame:

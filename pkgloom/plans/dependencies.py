@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from pkgloom.functions import uri
 from pkgloom.functions.versions import constraint, dotted_range, split_constraints, version_key
-from pkgloom.operators.dependencies import best_matches, constraint_sets, dependents, match_counts, resolve, source_counts
 from pkgloom.operators import graph as g
+from pkgloom.operators.dependencies import agreement, best_matches, constraint_sets, dependents, match_counts, matches, resolve, source_counts
+from pkgloom.operators.nested import flatten
 from pkgloom.plans.registry import Registry
+from pkgloom.session import cut
 
 deps = Registry()
 
@@ -33,11 +35,54 @@ def latest_version(c):
     return best.select("package_id", F.concat(F.lit("["), F.concat_ws(", ", *[x.cast("string") for x in (*numbers, kind, last)]), F.lit("]")).alias("latest"))
 
 
-@deps("F6_sorted_versions")
+@deps("F6_sorted_versions", f"SELECT id, package_id, dense_rank() OVER (PARTITION BY package_id ORDER BY {_KEY.format(v='version')}) AS place FROM pv")
 def sorted_versions(c):
-    """Place of every version in its package, equal versions sharing one."""
+    """Place of every version in its package, from 1; equal versions share one.
+
+    The distinct versions of all packages are numbered together by range partitions; a package's first number is
+    taken off, so that no task sorts a hot package alone.
+    """
     keyed = c.package_versions.select("id", "package_id", version_key("version").alias("k"))
-    return keyed.select("id", "package_id", "k")
+    numbered = cut(g.renumber(keyed.select(F.struct("package_id", "k").alias("node"))).select("node.package_id", "node.k", "number"))
+    first = numbered.groupBy("package_id").agg(F.min("number").alias("first"))
+    placed = numbered.join(first, "package_id").select("package_id", "k", (F.col("number") - F.col("first") + 1).alias("place"))
+    return keyed.join(placed, ["package_id", "k"]).select("id", "package_id", "place")
+
+
+@deps("N7_last_purls", f"SELECT vulnerability_id, package_name, arg_max(package_version, ({_KEY.format(v='package_version')}, package_version)) AS last FROM vpurls GROUP BY ALL")
+def last_purls(c):
+    """The last vulnerable version of each package, by version order, then text."""
+    per = c.vulnerabilities_purls.groupBy("vulnerability_id", "package_name").agg(F.max_by("package_version", F.struct(version_key("package_version"), "package_version")).alias("last"))
+    return per.select("vulnerability_id", "package_name", "last")
+
+
+@deps("N7_source_patches", """SELECT id AS record_key, ord - 1 AS child_no, json_extract_string(p, '$.filename') AS filename FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord FROM (SELECT id, CASE WHEN json_type(st, '$.patches') = 'ARRAY' THEN json_extract(st, '$.patches[*]') WHEN json_type(st, '$.patches') = 'OBJECT' THEN [json_extract(st, '$.patches')] ELSE [] END AS ps
+ FROM (SELECT id, CASE WHEN json_type(statement) = 'ARRAY' THEN json_extract(statement, '$[0]') ELSE statement::JSON END AS st FROM vulnerabilities WHERE json_valid(statement)))) WHERE regexp_matches(json_extract_string(p, '$.filename'), '\\.(java|py|c|cpp|h)$')""")
+def source_patches(c):
+    """Patches of files of program text, by their extension."""
+    p = flatten(c.vulnerabilities, "id", "statement", {"patches"})
+    name = F.col("fields")["filename"]
+    return p.where(name.rlike(r"\.(java|py|c|cpp|h)$")).select("record_key", F.col("child_no").cast("long").alias("child_no"), name.alias("filename"))
+
+
+@deps("D11_resolver_agreement", "WITH a AS (SELECT DISTINCT vulnerability_id AS key, package_name || ':' || package_version AS member FROM vpurls), b AS (SELECT DISTINCT x.vulnerability_id AS key, p.package_name || ':' || v.version AS member FROM packages p JOIN pv v ON v.package_id = p.id JOIN vpurls x ON x.package_name = p.package_name AND x.package_version = v.version AND x.forge = p.forge) SELECT a.key, count(*) AS n_a, count(b.member) AS n_b, count(b.member) AS n_both, round(count(b.member) / count(*)::DOUBLE, 6) AS share FROM a LEFT JOIN b ON b.key = a.key AND b.member = a.member GROUP BY a.key")
+def resolver_agreement(c):
+    """How far what a source names and what the tables resolve agree, for each vulnerability."""
+    x = c.vulnerabilities_purls
+    named = x.select(F.col("vulnerability_id").alias("key"), F.concat_ws(":", "package_name", "package_version").alias("member"))
+    v = c.versions("package_id", "version").select("package_id", F.col("version").alias("package_version"))
+    p = c.packages.select(F.col("id").alias("package_id"), "package_name", "forge")
+    found = x.join(p, ["package_name", "forge"]).join(v, ["package_id", "package_version"])
+    found = found.select(F.col("vulnerability_id").alias("key"), F.concat_ws(":", "package_name", "package_version").alias("member"))
+    return agreement(named, found).withColumn("share", F.round("share", 6))
+
+
+@deps("D5_matched_edges", f"WITH {SETS_SQL} SELECT package_id, array_to_string(r, '|') AS ranges, target FROM matched")
+def matched_edges(c):
+    """Which versions each set of constraints allows: the edges written out."""
+    _, sets = constraint_sets(c.dependencies)
+    m = matches(sets, c.package_versions)
+    return m.select(F.split_part("set_id", F.lit("|"), F.lit(1)).cast("long").alias("package_id"), F.regexp_replace("set_id", r"^-?\d+\|", "").alias("ranges"), "target")
 
 
 @deps("D1_constraints", r"""SELECT DISTINCT spec, left(spec, 1) IN ('[', '(') AS bracketed, CASE WHEN inn LIKE '%,%' THEN split_part(inn, ',', 1) ELSE inn END AS lower, CASE WHEN inn LIKE '%,%' THEN split_part(inn, ',', 2) ELSE inn END AS upper, spec LIKE '[%' AS lower_in, spec LIKE '%]' AS upper_in

@@ -166,6 +166,13 @@ def query_closeness(c):
     return m.select("node", F.round("closeness", 9).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
 
 
+@graphs("C15_plain_query_closeness", f"WITH {_DIST2} SELECT t AS node, round(1.0 / sum(d), 9) AS closeness, round(sum(1.0 / d), 6) AS harmonic FROM (SELECT node FROM sn WHERE node % 7 = 0) q JOIN ad ON ad.s = q.node GROUP BY t")
+def plain_query_closeness(c):
+    """C13 and C14 with weights of 1."""
+    m = g.query_measures(c.supplier_edges, g.nodes_of(c.supplier_edges).where("node % 7 = 0").withColumn("weight", F.lit(1.0)))
+    return m.select("node", F.round("closeness", 9).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
+
+
 def _rank_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"pf AS ({pref})", f"od AS (SELECT src, count(*) AS k FROM {e} GROUP BY src)", "x0 AS (SELECT node, p AS x FROM pf)"]
     for r in range(1, rounds + 1):

@@ -30,6 +30,21 @@ def full_uris(c):
     return j.select("id", "full_uri", *[x.alias(k) for k, x in uri.split_full_uri("full_uri").items()])
 
 
+_NS = "regexp_extract(uri, '^/([^/]+)/', 1)"
+
+
+@scalars("F3_canonical_uris", f"SELECT DISTINCT replace(uri, 'java.lang', {_NS}) AS uri, regexp_replace(replace(uri, 'java.lang', {_NS}), '\\(.*\\)', '(String)') AS canonical, replace(uri, 'java.lang', {_NS}) AS back, uri AS foreign_types, 'cg://mvn!g:a$1/' || {_NS} || '/Other.x()' AS resolved, 'cg://mvn!g:a$1' || uri AS rooted, regexp_extract(uri, '^/[^/]+/(.*)$', 1) AS relative FROM callables")
+def canonical_uris(c):
+    """Types of the callable's own namespace are written without it, and read back; types of another stay."""
+    ns = F.regexp_extract("uri", r"^/([^/]+)/", 1)
+    u = c.callables.select("uri").distinct().select(F.col("uri").alias("plain"), F.replace("uri", F.lit("java.lang"), ns).alias("uri"))
+    base = F.concat(F.lit("cg://mvn!g:a$1"), F.col("plain"))
+    return u.select(
+        "uri", uri.canonicalize("uri").alias("canonical"), uri.decanonicalize(uri.canonicalize("uri")).alias("back"), uri.canonicalize("plain").alias("foreign_types"),
+        uri.resolve(base, F.lit("Other.x()")).alias("resolved"), uri.resolve(F.lit("cg://mvn!g:a$1/q/R.y()"), F.col("plain")).alias("rooted"), uri.relativize(base, F.col("plain")).alias("relative"),
+    )
+
+
 @scalars("F4_string_cuts", "SELECT package_name, split_part(package_name, ':', 2) AS after_first, split_part(split_part(package_name, '.', 2), ':', 1) AS between, trim(package_name, chr(10) || chr(9) || ' ') AS trimmed FROM packages")
 def string_cuts(c):
     n = F.col("package_name")

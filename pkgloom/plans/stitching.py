@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pkgloom.functions.uri import percent_decode_fully
 from pkgloom.operators import graph as g
 from pkgloom.operators import stitching as m
 from pkgloom.plans.registry import Registry
@@ -15,7 +16,7 @@ _BASE = """
 ty AS (SELECT DISTINCT 'P' || (p_partkey % 40) AS type, 'B' || (p_partkey % 40 % 8) AS p1, 'I' || (p_partkey % 40 % 5) AS p2 FROM part),
 tb AS (SELECT DISTINCT 'B' || (p_partkey % 8) AS type, 'C' || (p_partkey % 8 % 3) AS p1 FROM part),
 anc AS (SELECT type, p1 AS ancestor, 1 AS r FROM ty UNION SELECT type, p2, 2 FROM ty UNION SELECT ty.type, tb.p1, 3 FROM ty JOIN tb ON tb.type = ty.p1 UNION SELECT type, p1, 1 FROM tb),
-dict AS (SELECT CASE p_size % 4 WHEN 0 THEN 'P' || (p_partkey % 40) WHEN 1 THEN 'B' || (p_partkey % 8) WHEN 2 THEN 'I' || (p_partkey % 5) ELSE 'C' || (p_partkey % 3) END AS type, 'm' || (p_partkey % 11) AS signature, min(p_partkey) AS gid FROM part WHERE p_size % 5 = 0 GROUP BY 1, 2),
+dict AS (SELECT CASE p_size % 4 WHEN 0 THEN 'P' || (p_partkey % 40) WHEN 1 THEN 'B' || (p_partkey % 8) WHEN 2 THEN 'I' || (p_partkey % 5) ELSE 'C' || (p_partkey % 3) END AS type, 'm' || ((p_partkey % 8 + p_size % 3) % 13) AS signature, min(p_partkey) AS gid FROM part GROUP BY 1, 2),
 calls AS (SELECT DISTINCT l_partkey AS source, l_linenumber = 7 AS external, CASE l_returnflag WHEN 'R' THEN 'STATIC' WHEN 'A' THEN 'VIRTUAL' ELSE 'INTERFACE' END AS call_type,
   CASE l_suppkey % 4 WHEN 0 THEN 'B' || (l_suppkey % 8) WHEN 1 THEN 'C' || (l_suppkey % 3) ELSE 'P' || (l_suppkey % 40) END AS receiver, 'm' || ((l_linenumber + l_suppkey) % 13) AS signature FROM lineitem),
 r1 AS (SELECT c.*, d.gid AS target, 1 AS stage FROM calls c JOIN dict d ON d.type = c.receiver AND d.signature = c.signature),
@@ -38,7 +39,7 @@ def _dictionary(c):
     k, s = F.col("p_partkey"), F.col("p_size") % 4
     name = lambda x, n: F.concat(F.lit(x), n.cast("string"))
     t = F.when(s == 0, name("P", k % 40)).when(s == 1, name("B", k % 8)).when(s == 2, name("I", k % 5)).otherwise(name("C", k % 3))
-    return c.part.where("p_size % 5 = 0").groupBy(t.alias("type"), name("m", k % 11).alias("signature")).agg(F.min("p_partkey").alias("gid"))
+    return c.part.groupBy(t.alias("type"), name("m", (k % 8 + F.col("p_size") % 3) % 13).alias("signature")).agg(F.min("p_partkey").alias("gid"))
 
 
 def _calls(c):
@@ -124,10 +125,19 @@ def origin_breakdown(c):
     return _origins(c).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@stitching("M8_receiver_types", "SELECT p_partkey, 2 AS n, p_type AS last FROM part")
+@stitching("M8_receiver_types", "SELECT p_partkey, CAST(len(string_split(p_name || ' ' || p_type, ' ')) AS INT) AS n, string_split(p_name || ' ' || p_type, ' ')[-1] AS last FROM part")
 def receiver_lists(c):
-    t = m.receiver_types(F.concat(F.lit("["), "p_brand", F.lit(", "), "p_type", F.lit("]")))
+    """As many receivers as a part's name and type have words."""
+    t = m.receiver_types(F.concat(F.lit("["), F.replace(F.concat_ws(" ", "p_name", "p_type"), F.lit(" "), F.lit(", ")), F.lit("]")))
     return c.part.select("p_partkey", F.size(t).alias("n"), F.element_at(t, -1).alias("last"))
 
 
+@stitching("M7_decoded_signatures", "SELECT DISTINCT uri AS signature, replace(replace(uri, '%25', '%'), '%2F', '/') AS decoded FROM callables UNION SELECT DISTINCT 'm' || regexp_extract(uri, '\\.m(.*)$', 1), 'm' || regexp_extract(uri, '\\.m(.*)$', 1) FROM callables")
+def decoded_signatures(c):
+    """A signature that begins with a slash is decoded until nothing is left to decode; any other stays."""
+    u = c.callables.select("uri").distinct()
+    s = u.select(F.col("uri").alias("signature")).union(u.select(F.concat(F.lit("m"), F.regexp_extract("uri", r"\.m(.*)$", 1)))).distinct()
+    return s.select("signature", F.when(F.startswith("signature", F.lit("/")), percent_decode_fully("signature")).otherwise(F.col("signature")).alias("decoded"))
+
+
 QUERIES, SQL = stitching.queries, stitching.sql

@@ -45,7 +45,7 @@ def offload(results: DataFrame, folder: str, largest: int = LARGEST_PAYLOAD) ->
 
     The results are computed once; what other calls wrote under ``folder`` stays.
     """
-    rows, here = cut(results), f"{folder}/{uuid.uuid4().hex}"
+    rows, here = cut(results), f"{folder}/call={uuid.uuid4().hex}"
     big = F.length("payload") > largest
     rows.where(big).select("key", "payload").write.parquet(here)
     link = F.to_json(F.struct(F.lit(here).alias("dir"), F.col("key").cast("string").alias("link")))
