@@ -11,11 +11,15 @@ from pkgloom.plans.registry import Registry
 
 graphs = Registry()
 SEED_NODE = 1
+# SQL unrolls this many rounds, which is past the fixed point to the digits compared; the queries stop at the tolerance
+FIXED, TIGHT = 40, 1e-12
+WHOLE = 9  # levels in SQL; the graph has fewer, the queries search to the end
+_PE = "pe AS MATERIALIZED (SELECT * FROM part_edges)"
 _DEG = "SELECT node, CAST(sum(i) AS BIGINT) AS indegree, CAST(sum(o) AS BIGINT) AS outdegree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {e} UNION ALL SELECT dst, 0, 1 FROM {e}) GROUP BY node"
 _NODES = "SELECT src AS node FROM {e} UNION SELECT dst FROM {e}"
 
 
-def _bfs_sql(e: str, seed: str, depth: int, forward: bool = True) -> str:
+def bfs_sql(e: str, seed: str, depth: int, forward: bool = True) -> str:
     """CTEs d0..dn and dist(node, d): shortest distances up to ``depth``."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     parts = [f"d0 AS (SELECT node, 0 AS d FROM ({seed}))"]
@@ -75,24 +79,24 @@ def degree_table(c):
 
 @graphs(
     "G1_forward_search",
-    f"WITH {_bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 3)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, d AS dist, indegree, outdegree, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0",
+    f"WITH {bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', WHOLE)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, d AS dist, indegree, outdegree, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0",
 )
 def forward_search(c):
-    return g.search(c.part_edges, _seed(c), max_depth=3).withColumn("score", F.round("score", 6))
+    return g.search(c.part_edges, _seed(c)).withColumn("score", F.round("score", 6))
 
 
 @graphs(
     "G3_backward_search",
-    f"WITH {_bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 2, False)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, d AS dist, indegree, outdegree, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0 AND outdegree >= 10",
+    f"WITH {bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', WHOLE, False)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, d AS dist, indegree, outdegree, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0 AND outdegree >= 10",
 )
 def backward_search(c):
     """The filter hides nodes of few callees but does not stop the walk at them."""
-    return g.search(c.part_edges, _seed(c), forward=False, max_depth=2, keep=F.col("outdegree") >= 10).withColumn("score", F.round("score", 6))
+    return g.search(c.part_edges, _seed(c), forward=False, keep=F.col("outdegree") >= 10).withColumn("score", F.round("score", 6))
 
 
-@graphs("G5_top10", f"WITH {_bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 3)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0 ORDER BY (indegree + outdegree) / log2(d + 2.0) DESC, dist.node LIMIT 10")
+@graphs("G5_top10", f"WITH {bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', WHOLE)}, deg AS ({_DEG.format(e='part_edges')}) SELECT dist.node, round((indegree + outdegree) / log2(d + 2.0), 6) AS score FROM dist JOIN deg ON deg.node = dist.node WHERE d > 0 ORDER BY (indegree + outdegree) / log2(d + 2.0) DESC, dist.node LIMIT 10")
 def top10(c):
-    return g.search(c.part_edges, _seed(c), max_depth=3, top=10).select("node", F.round("score", 6).alias("score"))
+    return g.search(c.part_edges, _seed(c), top=10).select("node", F.round("score", 6).alias("score"))
 
 
 @graphs("G9_packed_ids", "SELECT src, dst, (src << 40) | dst AS packed, ((src << 40) | dst) >> 40 AS unpacked FROM part_edges")
@@ -107,19 +111,19 @@ def reach(c):
     return g.reach_counts(c.supplier_edges)
 
 
-@graphs("G12_neighbourhood", f"WITH {_bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 2)} SELECT d AS dist, count(*) AS n FROM dist GROUP BY d")
+@graphs("G12_neighbourhood", f"WITH {bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 2)} SELECT d AS dist, count(*) AS n FROM dist GROUP BY d")
 def neighbourhood(c):
     return g.bfs(c.part_edges, _seed(c), 2).groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
 
 
 @graphs(
     "G10_capped_revisions",
-    f"WITH {_bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', 2)} SELECT node, d AS dist FROM (SELECT node, d, row_number() OVER (PARTITION BY node % 25 ORDER BY d, node) AS rn FROM dist) WHERE rn <= 3",
+    f"WITH {bfs_sql('part_edges', f'SELECT CAST({SEED_NODE} AS BIGINT) AS node', WHOLE)} SELECT node, d AS dist FROM (SELECT node, d, row_number() OVER (PARTITION BY node % 25 ORDER BY d, node) AS rn FROM dist) WHERE rn <= 3",
 )
 def capped(c):
     """At most three nodes of each product, in the order of discovery (distance, then node)."""
     w = Window.partitionBy(F.col("node") % 25).orderBy("dist", "node")
-    return g.bfs(c.part_edges, _seed(c), 2).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("node", "dist")
+    return g.bfs(c.part_edges, _seed(c)).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("node", "dist")
 
 
 @graphs("G15_vulnerable_chains", "SELECT cl.id FROM call_sites s JOIN callables cl ON cl.id = s.source_id JOIN callables t ON t.id = s.target_id WHERE t.uri LIKE '/ns3/%' OR cl.uri LIKE '/ns3/%' GROUP BY cl.id")
@@ -177,128 +181,78 @@ def _rank_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"pf AS ({pref})", f"od AS (SELECT src, count(*) AS k FROM {e} GROUP BY src)", "x0 AS (SELECT node, p AS x FROM pf)"]
     for r in range(1, rounds + 1):
         parts.append(
-            f"x{r} AS (SELECT pf.node, (1 - {alpha}) * p + {alpha} * (coalesce(f, 0) + p * coalesce((SELECT sum(x) FROM x{r - 1} WHERE node NOT IN (SELECT src FROM od)), 0)) AS x FROM pf LEFT JOIN (SELECT e.dst, sum(x / k) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node JOIN od ON od.src = e.src GROUP BY e.dst) q ON q.dst = pf.node)"
+            f"x{r} AS MATERIALIZED (SELECT pf.node, (1 - {alpha}) * p + {alpha} * (coalesce(f, 0) + p * coalesce((SELECT sum(x) FROM x{r - 1} WHERE node NOT IN (SELECT src FROM od)), 0)) AS x FROM pf LEFT JOIN (SELECT e.dst, sum(x / k) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node JOIN od ON od.src = e.src GROUP BY e.dst) q ON q.dst = pf.node)"
         )
     return ", ".join(parts)
 
 
-@graphs("C8_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, 'SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS p FROM nd')} SELECT node, round(x, 10) AS x FROM x5")
-def pagerank5(c):
-    """The first five rounds, as its SQL has them; C8_pagerank_converged is the measure."""
-    return g.pagerank(c.part_edges, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
-
-
-@graphs("C8_pagerank_converged")
+@graphs("C8_pagerank_converged", f"WITH {_PE}, {_rank_sql('pe', FIXED, 0.85, 'SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS p FROM nd')} SELECT node, round(x, 9) AS x FROM x{FIXED}")
 def pagerank_converged(c):
-    return g.pagerank(c.part_edges).select("node", F.round("x", 10).alias("x"))
+    return g.pagerank(c.part_edges, tolerance=TIGHT).select("node", F.round("x", 9).alias("x"))
 
 
 _PREF = "SELECT nd.node, CASE WHEN node % 10 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM nd WHERE node % 10 = 0) ELSE 0 END AS p FROM nd"
 
 
-@graphs("C18_preferential_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, _PREF)} SELECT node, round(x, 10) AS x FROM x5")
-def preferential(c):
-    """The first five rounds, as its SQL has them."""
-    q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
-    return g.pagerank(c.part_edges, preference=q, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
-
-
-@graphs("C18_preferential_pagerank_converged")
+@graphs("C18_preferential_pagerank_converged", f"WITH {_PE}, {_rank_sql('pe', FIXED, 0.85, _PREF)} SELECT node, round(x, 9) AS x FROM x{FIXED}")
 def preferential_converged(c):
     q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
-    return g.pagerank(c.part_edges, preference=q).select("node", F.round("x", 10).alias("x"))
+    return g.pagerank(c.part_edges, preference=q, tolerance=TIGHT).select("node", F.round("x", 9).alias("x"))
 
 
-@graphs("C19_single_source_pagerank", f"WITH {_rank_sql('part_edges', 5, 0.85, f'SELECT node, CASE WHEN node = {SEED_NODE} THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 10) AS x FROM x5")
-def single_source(c):
-    """The first five rounds, as its SQL has them."""
-    return g.pagerank(c.part_edges, preference=_seed(c).withColumn("weight", F.lit(1.0)), rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
-
-
-@graphs("C19_single_source_pagerank_converged")
+@graphs("C19_single_source_pagerank_converged", f"WITH {_PE}, {_rank_sql('pe', FIXED, 0.85, f'SELECT node, CASE WHEN node = {SEED_NODE} THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 9) AS x FROM x{FIXED}")
 def single_source_converged(c):
-    return g.pagerank(c.part_edges, preference=_seed(c).withColumn("weight", F.lit(1.0))).select("node", F.round("x", 10).alias("x"))
+    return g.pagerank(c.part_edges, preference=_seed(c).withColumn("weight", F.lit(1.0)), tolerance=TIGHT).select("node", F.round("x", 9).alias("x"))
 
 
 def _katz_sql(e: str, rounds: int, alpha: float, pref: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"pf AS ({pref})", "x0 AS (SELECT node, p AS x FROM pf)"]
     for r in range(1, rounds + 1):
-        parts.append(f"x{r} AS (SELECT pf.node, p + {alpha} * coalesce(f, 0) AS x FROM pf LEFT JOIN (SELECT e.dst, sum(x) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node GROUP BY e.dst) q ON q.dst = pf.node)")
+        parts.append(f"x{r} AS MATERIALIZED (SELECT pf.node, p + {alpha} * coalesce(f, 0) AS x FROM pf LEFT JOIN (SELECT e.dst, sum(x) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node GROUP BY e.dst) q ON q.dst = pf.node)")
     return ", ".join(parts)
 
 
-@graphs("C7_katz", f"WITH {_katz_sql('part_edges', 5, 0.01, 'SELECT node, 1.0::DOUBLE AS p FROM nd')} SELECT node, round(x, 8) AS x FROM x5")
-def katz5(c):
-    """The first five rounds, as its SQL has them."""
-    return g.katz(c.part_edges, 0.01, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
-
-
-@graphs("C7_katz_converged")
+@graphs("C7_katz_converged", f"WITH {_PE}, {_katz_sql('pe', FIXED, 0.01, 'SELECT node, 1.0::DOUBLE AS p FROM nd')} SELECT node, round(x, 7) AS x FROM x{FIXED}")
 def katz_converged(c):
-    return g.katz(c.part_edges, 0.01).select("node", F.round("x", 8).alias("x"))
+    return g.katz(c.part_edges, 0.01, tolerance=TIGHT * 100).select("node", F.round("x", 7).alias("x"))
 
 
-@graphs("C17_query_katz", f"WITH {_katz_sql('part_edges', 5, 0.01, 'SELECT node, CASE WHEN node % 10 = 0 THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 8) AS x FROM x5")
-def query_katz(c):
-    """The first five rounds, as its SQL has them."""
-    q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
-    return g.katz(c.part_edges, 0.01, preference=q, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
-
-
-@graphs("C17_query_katz_converged")
+@graphs("C17_query_katz_converged", f"WITH {_PE}, {_katz_sql('pe', FIXED, 0.01, 'SELECT node, CASE WHEN node % 10 = 0 THEN 1.0::DOUBLE ELSE 0 END AS p FROM nd')} SELECT node, round(x, 7) AS x FROM x{FIXED}")
 def query_katz_converged(c):
     q = g.nodes_of(c.part_edges).where("node % 10 = 0").withColumn("weight", F.lit(1.0))
-    return g.katz(c.part_edges, 0.01, preference=q).select("node", F.round("x", 8).alias("x"))
+    return g.katz(c.part_edges, 0.01, preference=q, tolerance=TIGHT * 100).select("node", F.round("x", 7).alias("x"))
 
 
 def _power_sql(e: str, rounds: int, share: str, norm: str) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", f"od AS (SELECT src, count(*) AS k FROM {e} GROUP BY src)", "x0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS x FROM nd)"]
     for r in range(1, rounds + 1):
-        parts.append(f"y{r} AS (SELECT nd.node, coalesce(f, 0) AS x FROM nd LEFT JOIN (SELECT e.dst, sum({share}) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node JOIN od ON od.src = e.src GROUP BY e.dst) q ON q.dst = nd.node)")
-        parts.append(f"x{r} AS (SELECT node, x / (SELECT {norm} FROM y{r}) AS x FROM y{r})")
+        parts.append(f"y{r} AS MATERIALIZED (SELECT nd.node, coalesce(f, 0) AS x FROM nd LEFT JOIN (SELECT e.dst, sum({share}) AS f FROM x{r - 1} JOIN {e} e ON e.src = x{r - 1}.node JOIN od ON od.src = e.src GROUP BY e.dst) q ON q.dst = nd.node)")
+        parts.append(f"x{r} AS MATERIALIZED (SELECT node, x / (SELECT {norm} FROM y{r}) AS x FROM y{r})")
     return ", ".join(parts)
 
 
-@graphs("C5_eigenvector", f"WITH {_power_sql('part_edges', 5, 'x', 'sqrt(sum(x * x))')} SELECT node, round(x, 8) AS x FROM x5")
-def eigen5(c):
-    """The first five rounds, as its SQL has them."""
-    return g.eigenvector(c.part_edges, rounds=5, tolerance=0).select("node", F.round("x", 8).alias("x"))
-
-
-@graphs("C5_eigenvector_converged")
+@graphs("C5_eigenvector_converged", f"WITH {_PE}, {_power_sql('pe', FIXED, 'x', 'sqrt(sum(x * x))')} SELECT node, round(x, 8) AS x FROM x{FIXED}")
 def eigen_converged(c):
-    return g.eigenvector(c.part_edges).select("node", F.round("x", 8).alias("x"))
+    return g.eigenvector(c.part_edges, tolerance=TIGHT * 10).select("node", F.round("x", 8).alias("x"))
 
 
-@graphs("C6_seeley", f"WITH {_power_sql('part_edges', 5, 'x / k', 'sum(abs(x))')} SELECT node, round(x, 10) AS x FROM x5")
-def seeley5(c):
-    """The first five rounds, as its SQL has them."""
-    return g.eigenvector(c.part_edges, markovian=True, rounds=5, tolerance=0).select("node", F.round("x", 10).alias("x"))
-
-
-@graphs("C6_seeley_converged")
+@graphs("C6_seeley_converged", f"WITH {_PE}, {_power_sql('pe', FIXED, 'x / k', 'sum(abs(x))')} SELECT node, round(x, 9) AS x FROM x{FIXED}")
 def seeley_converged(c):
-    return g.eigenvector(c.part_edges, markovian=True).select("node", F.round("x", 10).alias("x"))
+    return g.eigenvector(c.part_edges, markovian=True, tolerance=TIGHT).select("node", F.round("x", 9).alias("x"))
 
 
 def _hits_sql(e: str, rounds: int) -> str:
     parts = [f"nd AS ({_NODES.format(e=e)})", "x0 AS (SELECT node, 1.0::DOUBLE AS x FROM nd)"]
     for r in range(1, rounds + 1):
-        parts.append(f"h{r} AS (SELECT e.src AS node, sum(x) AS h FROM x{r - 1} JOIN {e} e ON e.dst = x{r - 1}.node GROUP BY e.src)")
-        parts.append(f"y{r} AS (SELECT nd.node, coalesce(f, 0) AS x FROM nd LEFT JOIN (SELECT e.dst, sum(h) AS f FROM h{r} JOIN {e} e ON e.src = h{r}.node GROUP BY e.dst) q ON q.dst = nd.node)")
-        parts.append(f"x{r} AS (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM y{r}) AS x FROM y{r})")
+        parts.append(f"h{r} AS MATERIALIZED (SELECT e.src AS node, sum(x) AS h FROM x{r - 1} JOIN {e} e ON e.dst = x{r - 1}.node GROUP BY e.src)")
+        parts.append(f"y{r} AS MATERIALIZED (SELECT nd.node, coalesce(f, 0) AS x FROM nd LEFT JOIN (SELECT e.dst, sum(h) AS f FROM h{r} JOIN {e} e ON e.src = h{r}.node GROUP BY e.dst) q ON q.dst = nd.node)")
+        parts.append(f"x{r} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM y{r}) AS x FROM y{r})")
     return ", ".join(parts)
 
 
-@graphs("C9_hits", f"WITH {_hits_sql('part_edges', 4)} SELECT node, round(x, 8) AS x FROM x4")
-def hits4(c):
-    """The first four rounds, as its SQL has them."""
-    return g.hits(c.part_edges, rounds=4, tolerance=0).select("node", F.round("x", 8).alias("x"))
-
-
-@graphs("C9_hits_converged")
+@graphs("C9_hits_converged", f"WITH {_PE}, {_hits_sql('pe', FIXED)} SELECT node, round(x, 8) AS x FROM x{FIXED}")
 def hits_converged(c):
-    return g.hits(c.part_edges).select("node", F.round("x", 8).alias("x"))
+    return g.hits(c.part_edges, tolerance=TIGHT * 10).select("node", F.round("x", 8).alias("x"))
 
 
 @graphs("C10_salsa", "SELECT node, round(coalesce(k, 0) / (SELECT count(*) FROM supplier_edges)::DOUBLE, 9) AS x FROM (SELECT src AS node FROM supplier_edges UNION SELECT dst FROM supplier_edges) LEFT JOIN (SELECT dst, count(*) AS k FROM supplier_edges GROUP BY dst) ON dst = node")

@@ -13,6 +13,7 @@ from pkgloom.operators import graph as g
 from pkgloom.operators import ingest
 from pkgloom.operators.nested import first_payload_with, flatten
 from pkgloom.operators.upsert import get_or_create
+from pkgloom.plans.graphs import WHOLE, bfs_sql
 from pkgloom.plans.reads import affected_versions, in_intervals
 from pkgloom.plans.registry import Registry
 from pkgloom.plans.scalars import source_counts_of
@@ -122,7 +123,10 @@ def cross_revision_reach(c):
     return _reach_across(c, max_depth=2)
 
 
-@pipelines("G7_cross_revision_reach_all")
+_ACROSS = f"{_CROSS}, ac AS MATERIALIZED (SELECT DISTINCT ge.src, ge.dst FROM ap JOIN ge ON ge.rev = ap.rev AND ge.src = ap.gid)"
+
+
+@pipelines("G7_cross_revision_reach_all", f"WITH {_ACROSS}, {bfs_sql('ac', 'SELECT CAST(1 AS BIGINT) AS node', WHOLE)} SELECT node AS gid, d AS dist FROM dist WHERE d > 0")
 def cross_revision_reach_all(c):
     return _reach_across(c)
 
@@ -141,7 +145,7 @@ def cross_revision_coreach(c):
     return _reach_across(c, False, 1)
 
 
-@pipelines("G8_cross_revision_coreach_all")
+@pipelines("G8_cross_revision_coreach_all", f"WITH {_ACROSS}, {bfs_sql('ac', 'SELECT CAST(1 AS BIGINT) AS node', WHOLE, False)} SELECT node AS gid, d AS dist FROM dist WHERE d > 0")
 def cross_revision_coreach_all(c):
     return _reach_across(c, False)
 
@@ -210,11 +214,11 @@ def reach_summary(c):
     return g.reach_counts(c.supplier_edges).agg(F.min("reached").alias("least"), F.max("reached").alias("most"), F.round(F.avg("reached"), 6).alias("mean"))
 
 
-@pipelines("G0i_search_order", "WITH d0 AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d), d1 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT e.dst, 1 FROM d0 JOIN part_edges e ON e.src = node) GROUP BY node), d2 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT e.dst, 2 FROM d1 JOIN part_edges e ON e.src = node WHERE d = 1) GROUP BY node) SELECT node, row_number() OVER (ORDER BY d, node) - 1 AS number FROM d2")
+@pipelines("G0i_search_order", f"WITH {bfs_sql('part_edges', 'SELECT CAST(1 AS BIGINT) AS node', WHOLE)} SELECT node, row_number() OVER (ORDER BY d, node) - 1 AS number FROM dist")
 def search_order(c):
     """Nodes renumbered in the order of a search, distance first, then node."""
     seed = c.spark.createDataFrame([(1,)], "node long")
-    found = g.bfs(c.part_edges, seed, 2).select(F.struct("dist", "node").alias("node"))
+    found = g.bfs(c.part_edges, seed).select(F.struct("dist", "node").alias("node"))
     return g.renumber(found).select("node.node", "number")
 
 
