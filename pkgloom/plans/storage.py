@@ -121,7 +121,7 @@ def json_file_rows(c):
     """Files of one JSON record each, and one that is broken."""
     path = Scratch(c.spark).root.toString() + "/files"
     rows = c.artifact_repositories.select(F.to_json(F.struct(F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"), F.col("repository_base_url").alias("url"))).alias("value"), F.col("id").alias("place"))
-    rows.union(c.spark.createDataFrame([('{"name":', -1)], "value string, place long")).repartition("place").write.partitionBy("place").text(path)
+    rows.union(c.spark.createDataFrame([('{"name":', -99)], "value string, place long")).repartition("place").write.partitionBy("place").text(path)
     v = F.try_parse_json("json")
     return json_files(c.spark, path).select(F.try_variant_get(v, "$.name", "string").alias("name"), F.try_variant_get(v, "$.url", "string").alias("url"), "broken")
 
