@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pkgloom.operators.dates_in_messages import dated_values
 from pkgloom.operators.dedup import keep_first, new_messages, repeated, with_digest
 from pkgloom.operators.drift import consistent_table, field_changes, profile_fields
-from pkgloom.operators.hierarchy import coordinate_links, coordinate_names, descendants, further_parents, hierarchies, place
+from pkgloom.operators.hierarchy import coordinate_links, descendants, further_parents, hierarchies, place
 from pkgloom.operators.nested import flatten, flatten_chain, merged_schema, stages_and_lines
 from pkgloom.operators.skew import compact, eager_join, heavy_keys, joined_sum
 from pkgloom.plans.registry import micros
@@ -105,10 +105,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of the coordinates of the messages whose record_id is divisible by 50."""
-    messages = table(spark, sf_dir, "pom_messages")
-    names = coordinate_names(messages)
-    out = descendants(place(coordinate_links(messages, names)), coordinate_links(messages.where("record_id % 50 = 0"), names))
+    """All descendants of all coordinates."""
+    placed = place(coordinate_links(table(spark, sf_dir, "pom_messages")))
+    out = descendants(placed, placed.nodes.select(F.col("name").alias("node")), chunk=256)  # many ancestors in a chunk: small ones
     return out.withColumnsRenamed({"node": "coordinate"})
 
 

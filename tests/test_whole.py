@@ -204,3 +204,9 @@ def test_labels_run_to_the_default_end(spark, data, monkeypatch):
     monkeypatch.setattr(g, "label_propagation", lambda e, *a, **o: (asked.append((a, o)), real(e, *a, **o))[1])
     assert run(spark, data, "L1_label_propagation").count() > 0
     assert asked == [((), {})]
+
+
+def test_descendants_of_all(spark, data):
+    below = run(spark, data, "p6_found").selectExpr("sum(n_below)").first()[0]
+    got = run(spark, data, "p6_descendants")
+    assert got.count() == below > 0 and got.distinct().count() == below
