@@ -39,15 +39,16 @@ class Stored(NamedTuple):
 
 
 def stored(edges: DataFrame) -> Stored:
-    """Writes the arcs (src, dst: integers), each once, and their nodes."""
+    """Writes the arcs (src, dst: integers; they may repeat), each once, and their nodes."""
     kinds = {k: t for k, t in edges.dtypes if k in ("src", "dst")}
     if not set(kinds.values()) <= INTEGERS:
         raise TypeError(f"nodes are integers here, not {kinds}; number them first")
     scratch = Scratch(edges.sparkSession)
-    once, at, m = scratch.counted(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    nodes, _, n = scratch.counted(once.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    arcs, _ = scratch.write(once.repartitionByRange(-(-m // FILE_ARCS) or 1, "src", "dst").sortWithinPartitions("src", "dst"))
+    found, at, m = scratch.counted(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").sortWithinPartitions("src", "dst"))
+    # repeats go where the ranges are made, so that arcs are shuffled once
+    arcs, _ = scratch.write(found.repartitionByRange(-(-m // FILE_ARCS) or 1, "src", "dst").distinct().sortWithinPartitions("src", "dst"))
     scratch.drop(at)
+    nodes, _, n = scratch.counted(arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     path = F.col("_metadata.file_path")
     arc_files = sorted((r["p"], r["low"], r["high"]) for r in arcs.groupBy(path.alias("p")).agg(F.min("src").alias("low"), F.max("src").alias("high")).collect())
     node_files = sorted(r["p"] for r in nodes.select(path.alias("p")).distinct().collect())

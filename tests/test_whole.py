@@ -163,6 +163,18 @@ def test_reach_has_no_bound(spark, lines):
     assert tuple(run(spark, folder, "A11_reach_summary").first()) == (5, 6, round(31 / 6, 6))
 
 
+def test_reach_shuffles_lines_and_arcs_once(spark, tmp_path, monkeypatch):
+    """One order, also with lines that repeat, that stand alone and that lack a value."""
+    rows = [(1, 1, 1), (1, 2, 2), (1, 2, 3), (1, 2, 3), (1, 3, 1), (1, 3, 3), (1, 5, 9), (2, 1, 3), (2, 2, 4), (3, 1, 4), (3, 2, 4), (4, 1, None), (4, 2, 5), (None, 1, 5), (None, 2, 6), (5, None, 7), (5, None, 8), (6, 2**31 - 1, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    shuffles, real = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: (shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), real(self, df))[1])
+    got = {r["node"]: r["reached"] for r in run(spark, tmp_path, "G11_reach_counts").collect()}
+    pairs = {(s, t) for o, n, s in rows for q, m, t in rows if None not in (o, n, s, q, m, t) and (q, m) == (o, n + 1) and s != t}
+    assert got == {n: len({n, *steps(pairs, n)}) for n in {x for p in pairs for x in p}} and len(got) == 4
+    assert sum(shuffles) == 3  # of the lines, of the arcs, and of the nodes
+
+
 def test_reach_across_revisions_has_no_bound(spark, data):
     from pkgloom.plans.pipelines import _gid_edges
     from pkgloom.sources.catalog import Catalog
