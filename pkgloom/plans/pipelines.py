@@ -184,7 +184,7 @@ def sketched_balls(c):
 @pipelines("L2_layered_labels")
 def layered_labels(c):
     """Gap cost of the order from label propagation at all twelve resolutions, combined by their own gap costs."""
-    return g.log_gap_cost(c.supplier_edges, g.layered_order(c.supplier_edges))
+    return g.layered_gap_cost(c.supplier_calls)
 
 
 _CHAIN = """WITH RECURSIVE ok AS (SELECT record_id, message::JSON AS m FROM callable_messages WHERE json_valid(message) AND message IS NOT NULL AND trim(message) <> ''),

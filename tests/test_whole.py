@@ -209,6 +209,29 @@ def test_layered_order_keeps_clusters_together(spark, monkeypatch):
     assert g.GAMMAS == tuple(1 / 2**k for k in range(11)) + (0.0,)
 
 
+def test_layered_order_in_tasks_is_that_of_tables(spark, monkeypatch):
+    """Numbers and texts, with loops, repeats and arcs one way only; a round of a propagation is no job."""
+    from pkgloom.operators import graph as g
+    from pkgloom.operators import labels as by_tasks
+
+    rng = np.random.default_rng(3)
+    pairs = [(int(b * 20 + x), int(b * 20 + y)) for b in range(3) for x, y in rng.integers(0, 20, (60, 2))] + [(0, 25), (30, 50), (70, 70), (5, 5)]
+    arcs, gammas = spark.createDataFrame(pairs + pairs[:9], "src long, dst long"), (1.0, 0.25, 0.0)
+    written, real = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: (written.append(1), real(self, df))[1])
+    monkeypatch.setattr(by_tasks, "KEPT_LINKS", 0)
+    got = g.layered_order(arcs, gammas, rounds=4)
+    assert len(written) == 8 and got.columns == ["node", "number"]
+    cost = g.log_gap_cost(arcs.distinct(), got).first()[0]
+    assert g.layered_gap_cost(arcs, gammas, rounds=4).first()[0] == cost
+    monkeypatch.setattr(by_tasks, "NODES", 0)
+    tables = g.layered_order(arcs, gammas, rounds=4)
+    assert len(written) > 40 and sorted(got.collect()) == sorted(tables.collect())
+    monkeypatch.setattr(by_tasks, "NODES", 10**6)
+    text = g.layered_order(arcs.selectExpr("concat('n', src) AS src", "concat('n', dst) AS dst"), gammas, rounds=4)
+    assert {r["node"] for r in text.collect()} == {f"n{r['node']}" for r in got.collect()} and sorted(r["number"] for r in text.collect()) == list(range(got.count()))
+
+
 def test_labels_run_to_the_default_end(spark, data, monkeypatch):
     from pkgloom.operators import graph as g
 
