@@ -211,6 +211,7 @@ def test_layered_order_keeps_clusters_together(spark, monkeypatch):
 
 def test_layered_order_in_tasks_is_that_of_tables(spark, monkeypatch):
     """Numbers and texts, with loops, repeats and arcs one way only; a round of a propagation is no job."""
+    from pkgloom.operators import all_pairs
     from pkgloom.operators import graph as g
     from pkgloom.operators import labels as by_tasks
 
@@ -220,6 +221,7 @@ def test_layered_order_in_tasks_is_that_of_tables(spark, monkeypatch):
     written, real = [], Scratch.write
     monkeypatch.setattr(Scratch, "write", lambda self, df: (written.append(1), real(self, df))[1])
     monkeypatch.setattr(by_tasks, "KEPT_LINKS", 0)
+    monkeypatch.setattr(all_pairs, "FILE_ARCS", 40)  # sources whose arcs are in two files
     got = g.layered_order(arcs, gammas, rounds=4)
     assert len(written) == 8 and got.columns == ["node", "number"]
     cost = g.log_gap_cost(arcs.distinct(), got).first()[0]
