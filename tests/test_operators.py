@@ -95,6 +95,67 @@ def test_betweenness(spark, arcs):
         assert got[v] == pytest.approx(total)
 
 
+@pytest.mark.parametrize(
+    "way",
+    [
+        {},
+        {"PAIR_NS": 1e6, "CELL_NS": 0, "TILE": 7, "ROWS": 5},  # rows of all sources at once
+        {"ROW_NS": 1e9, "SPREAD": 11},  # arcs for one source, forward
+        {"ROW_NS": 1e9, "CELL_NS": 0},  # and back from what is not reached
+        {"PART": 1, "STATE": 900},  # a component at a time, few sources at once
+        {"HELD_ARCS": 3},  # from files
+    ],
+)
+def test_betweenness_goes_any_way(tmp_path, monkeypatch, way):
+    """Two graphs side by side, arcs in files; what a block reaches is read once for the blocks that follow."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pkgloom.operators import all_pairs
+
+    for name, value in way.items():
+        monkeypatch.setattr(all_pairs, name, value)
+    reads, real = [], all_pairs._read
+    monkeypatch.setattr(all_pairs, "_read", lambda path, columns: (reads.append(path), real(path, columns))[1])
+    rng = random.Random(7)
+    arcs = sorted({(3 * a + k, 3 * b + k) for k, n, m in ((0, 40, 160), (1, 25, 40)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b})
+    ids = sorted({x for e in arcs for x in e})
+    files = []
+    for k in range(0, len(arcs), 50):
+        src, dst = zip(*arcs[k : k + 50], strict=True)
+        pq.write_table(pa.table({"src": src, "dst": dst}), str(tmp_path / f"{k}.parquet"))
+        files.append(((tmp_path / f"{k}.parquet").as_uri(), src[0], src[-1]))
+    pq.write_table(pa.table({"node": ids}), str(tmp_path / "nodes.parquet"))
+    stored = all_pairs._Arcs([(tmp_path / "nodes.parquet").as_uri()], files)
+    total, reached = np.zeros(len(ids)), all_pairs._Reached(stored)
+    for low in range(0, len(ids), 64):
+        high = min(len(ids), low + 64)
+        parts = reached.parts_of(low, high)
+        assert (parts is None) == ("HELD_ARCS" in way)
+        if parts is None:
+            all_pairs._shares_from_files(stored, low, high, total)
+        else:
+            for part, sources in parts:
+                total[part.nodes] += part.shares(sources)
+    assert len(reads) <= 1 + len(files) * -(-len(ids) // 64)
+
+    d, nxt, want = brute_distances(arcs), defaultdict(list), dict.fromkeys(ids, 0.0)
+    for a, b in arcs:
+        nxt[a].append(b)
+    for s in d:  # backwards over the arcs of shortest paths
+        order = sorted(d[s], key=d[s].get)
+        paths, behind = defaultdict(float, {s: 1.0}), defaultdict(float)
+        for x in order:
+            for y in nxt[x]:
+                if d[s][y] == d[s][x] + 1:
+                    paths[y] += paths[x]
+        for x in reversed(order):
+            behind[x] = sum(paths[x] / paths[y] * (1 + behind[y]) for y in nxt[x] if d[s][y] == d[s][x] + 1)
+            want[x] += behind[x] if x != s else 0.0
+    assert total.tolist() == pytest.approx([want[x] for x in ids])
+
+
 def _dense(arcs):
     nodes = sorted({x for e in arcs for x in e})
     return nodes, {n: [b for a, b in arcs if a == n] for n in nodes}
