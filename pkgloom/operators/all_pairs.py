@@ -198,6 +198,11 @@ class _Ends:
         self.ptr, self.ends, self.degree = ptr, ends, np.diff(ptr)
         self.tiles: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
+    def arcs(self, cells: np.ndarray, w: int) -> int:
+        """How many arcs the cells have, of many estimated by some; only for the choice of a way."""
+        step = len(cells) // SPREAD + 1
+        return int(self.degree[cells[::step] // w].sum()) * step
+
     def spread(self, cells: np.ndarray, w: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(which cells, their numbers of arcs, the cells at the other ends) for parts of ``cells`` (node * w + source)."""
         node = cells // w
@@ -267,11 +272,11 @@ class _Part:
         """(cells first reached from the frontier, their numbers of paths)"""
         high = paths[front].max() * self.into.degree.max()
         kind = np.uint16 if high < 2**16 else np.float32 if high < 2**24 else np.float64
-        arcs = self.out.degree[front // w].sum()
+        arcs = self.out.arcs(front, w)
         by_arc, by_row = arcs * PAIR_NS, self._by_row(w, kind().itemsize)
         if min(by_arc, by_row) > len(place) * CELL_NS:
             unseen = np.flatnonzero(place == 0)
-            if self.into.degree[unseen // w].sum() * PAIR_NS < min(by_arc, by_row):
+            if self.into.arcs(unseen, w) * PAIR_NS < min(by_arc, by_row):
                 x[front] = paths[front]
                 found = self.into.gathered(unseen, w, x)
                 x[front] = 0.0
@@ -283,21 +288,25 @@ class _Part:
             found = found.reshape(-1)
             new = np.flatnonzero((found > 0) & (place == 0))
             return new, found[new].astype(float)
-        cells = [front[:0]]
+        few, cells = arcs * 4 <= len(x), [front[:0]]
         for part, c, far in self.out.spread(front, w):
-            free = place[far] == 0
-            far = far[free]
-            np.add.at(x, far, np.repeat(paths[front[part]], c)[free])
-            if arcs * 4 <= len(x):
+            value = np.repeat(paths[front[part]], c)
+            if few:
+                free = place[far] == 0
+                far, value = far[free], value[free]
                 cells.append(far)
-        new = np.unique(np.concatenate(cells)) if arcs * 4 <= len(x) else np.flatnonzero(x)
+            np.add.at(x, far, value)
+        new = np.unique(np.concatenate(cells)) if few else np.flatnonzero((x > 0) & (place == 0))
         found = x[new]
-        x[new] = 0.0
+        if few:
+            x[new] = 0.0
+        else:
+            x[:] = 0.0
         return new, found
 
     def backward(self, at: np.ndarray, value: np.ndarray, up: np.ndarray, x: np.ndarray, w: int) -> np.ndarray:
         """For the cells ``up`` the sums of the values of those cells ``at`` that their arcs lead to."""
-        by_out, by_in, by_row = self.out.degree[up // w].sum() * PAIR_NS, self.into.degree[at // w].sum() * PAIR_NS, self._by_row(w, 8)
+        by_out, by_in, by_row = self.out.arcs(up, w) * PAIR_NS, self.into.arcs(at, w) * PAIR_NS, self._by_row(w, 8)
         if by_row < min(by_out, by_in):
             rows, got = np.zeros((self.n, w)), np.zeros((self.n, w))
             rows.reshape(-1)[at] = value
@@ -424,7 +433,7 @@ class _Reached:
 
 def path_shares(g: Stored) -> DataFrame:
     """(node, betweenness): the sum over pairs of other nodes of the share of shortest paths through a node; every node that is on none has 0."""
-    tasks = max(1, 3 * g.scratch.spark.sparkContext.defaultParallelism)
+    tasks = max(1, 2 * g.scratch.spark.sparkContext.defaultParallelism)
     width = max(1, min(256, -(-g.n // tasks)))
 
     def work(arcs: _Arcs, ranges: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
